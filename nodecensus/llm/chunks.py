@@ -27,7 +27,7 @@ CHUNK_BYTES = 4 << 20
 #: Bytes of questions that one bucket is meant to hold.
 BUCKET_BYTES = 24 << 20
 NO_ID = np.iinfo(np.int64).max
-TABLE = "chunk long, texts long, raw long, data binary"
+TABLE = "chunk long, texts long, raw long, data binary, aux binary"
 ASKED = "bucket long, chunk long, n long, data binary"
 ANSWERED = "chunk long, bucket long, bits binary"
 
@@ -60,14 +60,16 @@ def text_blocks(data: bytes, limit: int = 512 << 10):
 class Chunks:
     """A corpus dealt into chunks."""
 
-    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> None:
+    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, aux=None) -> None:
+        """``aux`` may make further bytes of a packed chunk, so that later passes needn't work them out again."""
         spark = self.spark = docs.sparkSession
 
         def deal(batches):
             base, made, ids, texts, size = TaskContext.get().partitionId() << 33, 0, [], [], 0
 
             def row() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict({"chunk": pa.array([base + made], pa.int64()), "texts": pa.array([len(ids)], pa.int64()), "raw": pa.array([size], pa.int64()), "data": pa.array([pack_texts(ids, texts)], pa.binary())})
+                data = pack_texts(ids, texts)
+                return pa.RecordBatch.from_pydict({"chunk": pa.array([base + made], pa.int64()), "texts": pa.array([len(ids)], pa.int64()), "raw": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary()), "aux": pa.array([aux(data) if aux else None], pa.binary())})
 
             for batch in batches:
                 own = batch.column("doc_id").to_pylist()
@@ -87,6 +89,7 @@ class Chunks:
         self.name = f"nodecensus_chunks_{uuid.uuid4().hex}"
         rows.write.option("compression", "uncompressed").bucketBy(self.buckets, "chunk").saveAsTable(self.name)
         self.rows = spark.table(self.name)
+        self.aux = aux is not None
         self.raw = int(self.rows.agg(F.sum("raw")).first()[0] or 0)
 
     def key_buckets(self, bytes_per_raw: float) -> int:
@@ -95,7 +98,7 @@ class Chunks:
 
     def with_answers(self, *answers: DataFrame) -> DataFrame:
         """chunk, data and an array of answers (bucket, bits) for each of ``answers``: only these are moved."""
-        out = self.rows.select("chunk", "data")
+        out = self.rows.select("chunk", "data", *(["aux"] if self.aux else []))
         for k, x in enumerate(answers):
             own = x.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"answers{k}")).withColumnRenamed("chunk", f"chunk{k}")
             out = out.join(own.hint("shuffle_hash"), F.col("chunk") == F.col(f"chunk{k}"), "left").drop(f"chunk{k}")
@@ -103,7 +106,7 @@ class Chunks:
 
 
 def deal_keys(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted distinct keys: order by bucket (stable), the buckets that occur, and where each starts (with an end)."""
+    """For keys: order by bucket (stable), the buckets that occur, and where each starts (with an end)."""
     own = (keys >> np.uint64(33)).astype(np.int64) % buckets
     order = np.argsort(own, kind="stable")
     present, starts = np.unique(own[order], return_index=True)
@@ -140,26 +143,27 @@ def asked_rows(chunk: int, keys: np.ndarray, columns: list[np.ndarray], buckets:
 
 
 def answer(asked: DataFrame, decide, kinds: tuple) -> DataFrame:
-    """ANSWERED: ``decide(columns)`` gets the questions of a bucket, one after the other, and returns a boolean for each key."""
+    """ANSWERED: ``decide(columns)`` gets the questions of a bucket, one after the other, and returns a boolean or a small number for each key."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.select(["chunk", "n", "data"]).to_pylist()
         columns = [np.concatenate(c) for c in zip(*(unpack_columns(x["data"], *kinds) for x in rows), strict=True)]
         said = decide(*columns)
         ends = np.cumsum([x["n"] for x in rows])
-        bits = [np.packbits(said[e - x["n"] : e]).tobytes() for x, e in zip(rows, ends.tolist(), strict=True)]
+        bits = [np.packbits(said[e - x["n"] : e]).tobytes() if said.dtype == bool else said[e - x["n"] : e].tobytes() for x, e in zip(rows, ends.tolist(), strict=True)]
         return pa.table({"chunk": t.column("chunk").cast(pa.int64()), "bucket": t.column("bucket").cast(pa.int64()), "bits": pa.array(bits, pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
 
 
-def told(keys: np.ndarray, answers: list[dict] | None, buckets: int) -> np.ndarray:
-    """The answers as one boolean for each of a chunk's sorted distinct keys."""
-    out = np.zeros(len(keys), bool)
+def told(keys: np.ndarray, answers: list[dict] | None, buckets: int, kind=bool) -> np.ndarray:
+    """The answers, one for each of the keys that a chunk asked, in the order in which it asked them."""
+    out = np.zeros(len(keys), kind)
     by = {x["bucket"]: x["bits"] for x in answers or []}
     order, present, starts = deal_keys(keys, buckets)
     for b, a, e in zip(present.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        out[order[a:e]] = np.unpackbits(np.frombuffer(by[b], np.uint8), count=e - a).astype(bool)
+        raw = np.frombuffer(by[b], np.uint8)
+        out[order[a:e]] = np.unpackbits(raw, count=e - a).astype(bool) if kind is bool else raw
     return out
 
 
