@@ -24,9 +24,9 @@ from nodecensus.llm.warc import op8_warc
 SPACES = r"[\x20\x09-\x0D]+"
 
 OP3 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-pairs AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
           FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
@@ -34,16 +34,16 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 OP8 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
-bits AS (SELECT page_id, n, hex, list_transform(range(0, 8), k -> CAST('0x' || substr(hex, CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT)) AS parts FROM p),
-b32 AS (SELECT page_id, n, hex, array_to_string(list_transform(parts, v -> array_to_string(list_transform([15, 10, 5, 0], s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS digest FROM bits),
+bits AS (SELECT page_id, n, hex, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT)) AS parts FROM p),
+b32 AS (SELECT page_id, n, hex, array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS digest FROM bits),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, n) AS first FROM b32)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
 OP9 = rf"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), x -> x <> '') AS words FROM documents),
-at AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM w WHERE len(words) >= 20),
-win AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS s FROM at),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS words FROM documents),
+spot AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM w WHERE len(words) >= 20),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS s FROM spot),
 gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
 marks AS (SELECT DISTINCT doc_id, i + k AS j FROM gone, range(20) t(k)),
 word AS (SELECT doc_id, unnest(words) AS x, unnest(range(1, len(words) + 1)) AS j FROM w),
@@ -56,12 +56,13 @@ def _op10() -> str:
     cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS bin, {v} AS least FROM m WHERE n_words > 0" for k, v in SPREADS.items())
     spread = f"b[(n * 75 + 99) // 100] + {FENCE} * greatest(b[(n * 75 + 99) // 100] - b[(n * 25 + 99) // 100], least)"
     level = lambda keys: f"SELECT {keys} measure, n, {spread} AS upper FROM (SELECT {keys} measure, least, count(*) AS n, list_sort(list(bin)) AS b FROM cells GROUP BY {keys} measure, least)"
-    within = " AND ".join(f"coalesce(m.{k} <= (SELECT u FROM best x WHERE x.lang IS NOT DISTINCT FROM m.lang AND x.source IS NOT DISTINCT FROM m.source AND x.measure = '{k}'), false)" for k in SPREADS)
+    within = " AND ".join(f"coalesce(m.{k} <= wide.{k}, false)" for k in SPREADS)
+    wide = ", ".join(f"max(u) FILTER (measure = '{k}') AS {k}" for k in SPREADS)
     return rf"""
-WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), x -> x <> '') AS words,
-           list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_replace(x, '{SPACES}', '', 'g') <> '') AS lines FROM documents),
-at AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5),
-win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 4], ' ')) AS c FROM at),
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS words,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{SPACES}', '', 'g') <> '') AS lines FROM documents),
+spot AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 4], ' ')) AS c FROM spot),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(5) t(k) WHERE c > 1 GROUP BY doc_id),
 base AS (SELECT w.doc_id, lang, source, len(words) AS n_words, length(regexp_replace(t, '{SPACES}', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
@@ -70,8 +71,9 @@ m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 cells AS ({cells}),
 own AS ({level("lang, source,")}), of_lang AS ({level("lang,")}), of_all AS ({level("")}),
 best AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.n >= {ENOUGH} THEN own.upper WHEN of_lang.n >= {ENOUGH} THEN of_lang.upper ELSE of_all.upper END AS u
-         FROM own LEFT JOIN of_lang ON own.lang IS NOT DISTINCT FROM of_lang.lang AND own.measure = of_lang.measure LEFT JOIN of_all ON own.measure = of_all.measure)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept FROM m
+         FROM own LEFT JOIN of_lang ON own.lang IS NOT DISTINCT FROM of_lang.lang AND own.measure = of_lang.measure LEFT JOIN of_all ON own.measure = of_all.measure),
+wide AS (SELECT lang, source, {wide} FROM best GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept FROM m LEFT JOIN wide ON wide.lang IS NOT DISTINCT FROM m.lang AND wide.source IS NOT DISTINCT FROM m.source
 """
 
 
