@@ -8,7 +8,7 @@ mostly after a few rounds.  The share of equal coordinates concentrates about th
 *Banding.*  BANDS bands of BINS / BANDS coordinates; sets as similar as 0.85 miss all bands with a probability under 1e-10.
 Documents with equal sets are one class before that, so groups of copies are one row.
 
-*Verification.*  In a bucket no pairs are listed.  In each round 1, 2, 4, ... leaders of each bucket (chosen by hashes within an
+*Verification.*  In a bucket no pairs are listed.  In each round 1, 4, 16, ... leaders of each bucket (chosen by hashes within an
 aggregation) are compared with the members of *other* components, then leave the bucket; buckets with a single component are done.
 This goes on until no bucket is left, so no link between different components is lost, while groups of copies take one round.
 A pair is verified on full sets if sizes allow it and at least ``AGREE`` of the coordinates are equal (a similar pair falls below with a
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             found = components(links)
             labels = stored(nodes.join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label")), "minhash-labels")
         members = stored(live.select("key", "rep", "n").join(leaders.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"), "minhash-buckets")
-        width *= 2
+        width *= 4
 
     of_class = classes.select(F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), F.col("n").alias("_n"), "rep")
     out = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")) & (F.col("n_shingles") == F.col("_n")), "left")
