@@ -202,8 +202,7 @@ class Asked:
             own.append(np.full(len(a), k))
             first.append(a)
             count.append(c)
-            # Left and right keys of one anchor are different strings, but say the side as well.
-            key.append(mix(b.digests(at, at + width) + (o > 0)))
+            key.append(b.digests(at, at + width))
             h.append(b.digests(a, a + c + window - 1))
             g.append(b.second(a, a + c + window - 1))
         self.block, self.first, self.count = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (own, first, count))
