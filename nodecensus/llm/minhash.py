@@ -8,11 +8,14 @@ mostly after a few rounds.  The share of equal coordinates concentrates about th
 *Banding.*  BANDS bands of BINS / BANDS coordinates; sets as similar as 0.85 miss all bands with a probability under 1e-10.
 Documents with equal sets are one class before that, so groups of copies are one row.
 
-*Verification.*  In a bucket no pairs are listed.  In each round 1, 4, 16, ... leaders of each bucket (chosen by hashes within an
+*Verification.*  In a bucket no pairs are listed.  In each round 1, 8, 64, ... leaders of each bucket (chosen by hashes within an
 aggregation) are compared with the members of *other* components, then leave the bucket; buckets with a single component are done.
 This goes on until no bucket is left, so no link between different components is lost, while groups of copies take one round.
-A pair is verified on full sets if sizes allow it and at least ``AGREE`` of the coordinates are equal (a similar pair falls below with a
-probability under 1e-10).  Links are joined to components by least labels with jumps.  All steps are joins and aggregations;
+The join of leaders and members itself drops pairs whose sizes differ too much or whose odd sketches do: of ``PARITY`` bits, each the
+parity of the elements hashed to it, those that differ are never more than the sets' symmetric difference, so that no link is lost by
+it; it keeps large groups of texts that are alike, but less than asked for, from being paired.
+A pair that is left is verified on full sets if at least ``AGREE`` of the coordinates are equal (a similar pair falls below with a
+probability under 1e-10).  New links are contracted to the labels of their ends and joined to components by least labels with jumps.  All steps are joins and aggregations;
 nothing is collected and nothing broadcast but what Spark knows to be small.
 
 Cases: null and empty texts have empty sets and stay alone; shorter texts have one shingle, their words; rows with one doc_id count
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from nodecensus.llm.common import BYTE_VALUES, Rolling, batches_of_texts, join_texts, mix, partitions, stored, table, text_of, utf8, word_bounds
 
-SHINGLE, BINS, BANDS, AGREE = 5, 128, 32, 77
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>"
+SHINGLE, BINS, BANDS, AGREE, PARITY = 5, 128, 32, 77, 512
+SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>, odd array<long>"
 SETS = "doc_id long, shingles array<long>"
 _words, _shingles = Rolling(21), Rolling(22)
 _salts = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -76,6 +79,15 @@ def sketches(n: int, own: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out.reshape(n, BINS)
 
 
+def odd_sketches(n: int, own: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of n sets, the parity of the elements hashed to each of PARITY bits: an n by PARITY / 64 array of words."""
+    words = PARITY // 64
+    out = np.zeros(n * words, np.uint64)
+    x = mix(h ^ np.uint64(0x3C3C3C3C3C3C3C3C))
+    np.bitwise_xor.at(out, own * words + ((x >> np.uint64(6)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+    return out.reshape(n, words)
+
+
 def _each_block(batches, limit: int = 512 << 10):
     for batch in batches:
         for at, to in batches_of_texts(batch, limit):
@@ -101,7 +113,8 @@ def sketched(docs: DataFrame) -> DataFrame:
             keys = mix(keys ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(40))[None, :])
             small = (mix(s) & np.uint64(255)).astype(np.uint8)
             bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(count > 0, BANDS, 0))), pa.int32()), pa.array(keys[count > 0].reshape(-1).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array([x.tobytes() for x in small], pa.binary()), bands], ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "bands"])
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (PARITY // 64), pa.int32()), pa.array(odd_sketches(n, own, h).reshape(-1).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array([x.tobytes() for x in small], pa.binary()), bands, odd], ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "bands", "odd"])
 
     return text_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SKETCH)
 
@@ -148,10 +161,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     rows = stored(sketched(docs), "minhash-sketches")
     full = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "sketch", "bands")).alias("x")).select("fp1", "fp2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.bands").alias("bands")), "minhash-classes")
+    classes = stored(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "sketch", "bands", "odd")).alias("x")).select("fp1", "fp2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.bands").alias("bands"), F.col("x.odd").alias("odd")), "minhash-classes")
     dealt = classes.select(F.explode("bands").alias("key"), "rep", "n").repartition(partitions(spark), "key")
     several = dealt.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-    members = stored(dealt.join(several, "key", "left_semi"), "minhash-buckets")
+    buckets = stored(dealt.join(several, "key", "left_semi"), "minhash-buckets")
+    members = stored(buckets.join(classes.select("rep", "odd"), "rep"), "minhash-members")
     nodes = members.select("rep").distinct()
     labels = stored(nodes.select("rep", F.col("rep").alias("label")), "minhash-labels")
     # The full sets of documents in buckets, bucketed by document: rounds then move pairs only.
@@ -159,14 +173,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     full_sets(docs.select("doc_id", "text").join(nodes.withColumnRenamed("rep", "_rep"), F.col("doc_id") == F.col("_rep"), "left_semi")).write.bucketBy(partitions(spark), "doc_id").saveAsTable(name)
     sets, sketch = spark.table(name), classes.select("rep", "n", "sketch")
 
-    links, width = None, 1
+    apart = sum(F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("lead_odd")[i])) for i in range(PARITY // 64))
+    alike = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("lead_n")))
+    width = 1
     while not members.isEmpty():
         known = members.join(labels, "rep")
         open_ = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         live = stored(known.join(open_, "key", "left_semi"), "minhash-live")
         slot = F.pmod(F.xxhash64("rep"), F.lit(width))
-        leaders = stored(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("o"), "rep", "n", "label")).alias("l")).select("key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label")), "minhash-leaders")
-        met = live.join(leaders, "key").where((F.col("label") != F.col("lead_label")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
+        leaders = stored(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("o"), "rep", "n", "label", "odd")).alias("l")).select("key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), F.col("l.odd").alias("lead_odd")), "minhash-leaders")
+        met = live.join(leaders, "key").where((F.col("label") != F.col("lead_label")) & alike)
         pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         drawn = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
         likely = stored(_agreeing(drawn.select("a", "b", "sketch_a", "sketch_b")), "minhash-pairs")
@@ -175,11 +191,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         common = of_b.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))
         new = stored(common.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b"), "minhash-links")
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            found = components(links)
-            labels = stored(nodes.join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label")), "minhash-labels")
-        members = stored(live.select("key", "rep", "n").join(leaders.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"), "minhash-buckets")
-        width *= 4
+            ends = new.join(labels.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
+            found = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("label", "lower")
+            labels = stored(labels.join(found, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("lower", "label").alias("label")), "minhash-labels")
+        members = stored(live.select("key", "rep", "n", "odd").join(leaders.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"), "minhash-buckets")
+        width *= 8
 
     of_class = classes.select(F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), F.col("n").alias("_n"), "rep")
     out = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")) & (F.col("n_shingles") == F.col("_n")), "left")
