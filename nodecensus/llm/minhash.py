@@ -8,14 +8,14 @@ mostly after a few rounds.  The share of equal coordinates concentrates about th
 *Banding.*  BANDS bands of BINS / BANDS coordinates; sets as similar as 0.85 miss all bands with a probability under 1e-10.
 Documents with equal sets are one class before that, so groups of copies are one row.
 
-*Verification.*  In a bucket no pairs are listed.  In each round 1, 8, 64, ... leaders of each bucket (chosen by hashes within an
+*Verification.*  In a bucket no pairs are listed.  In each round 1, 32, 1024, ... leaders of each bucket (chosen by hashes within an
 aggregation) are compared with the members of *other* components, then leave the bucket; buckets with a single component are done.
 This goes on until no bucket is left, so no link between different components is lost, while groups of copies take one round.
 The join of leaders and members itself drops pairs whose sizes differ too much or whose odd sketches do: of ``PARITY`` bits, each the
 parity of the elements hashed to it, those that differ are never more than the sets' symmetric difference, so that no link is lost by
 it; it keeps large groups of texts that are alike, but less than asked for, from being paired.
-A pair that is left is verified on full sets if at least ``AGREE`` of the coordinates are equal (a similar pair falls below with a
-probability under 1e-10).  New links are contracted to the labels of their ends and joined to components by least labels with jumps.  All steps are joins and aggregations;
+A pair that is left is verified on full sets; if both are too long for odd sketches to tell (over ``LONG`` shingles), only if at least
+``AGREE`` of the coordinates are equal (a similar pair falls below with a probability under 1e-10).  New links are contracted to the labels of their ends and joined to components by least labels with jumps.  All steps are joins and aggregations;
 nothing is collected and nothing broadcast but what Spark knows to be small.
 
 Cases: null and empty texts have empty sets and stay alone; shorter texts have one shingle, their words; rows with one doc_id count
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from nodecensus.llm.common import BYTE_VALUES, Rolling, batches_of_texts, join_texts, mix, partitions, stored, table, text_of, utf8, word_bounds
 
-SHINGLE, BINS, BANDS, AGREE, PARITY = 5, 128, 32, 77, 512
+SHINGLE, BINS, BANDS, AGREE, PARITY, LONG = 5, 128, 32, 77, 512, 1500
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>, odd array<long>"
 SETS = "doc_id long, shingles array<long>"
 _words, _shingles = Rolling(21), Rolling(22)
@@ -144,12 +144,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sketch_a, sketch_b) of which enough coordinates are equal."""
+    """Pairs (a, b, sketch_a, sketch_b) of which enough coordinates are equal; a sketch that is null agrees with all."""
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= AGREE))
+            good = np.ones(batch.num_rows, bool)
+            told = np.flatnonzero(np.asarray(batch.column("sketch_a").is_valid()) & np.asarray(batch.column("sketch_b").is_valid()))
+            a, b = (np.frombuffer(b"".join(batch.column(c).take(pa.array(told)).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+            good[told] = (a == b).sum(1) >= AGREE
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -165,13 +168,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     dealt = classes.select(F.explode("bands").alias("key"), "rep", "n").repartition(partitions(spark), "key")
     several = dealt.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     buckets = stored(dealt.join(several, "key", "left_semi"), "minhash-buckets")
-    members = stored(buckets.join(classes.select("rep", "odd"), "rep"), "minhash-members")
+    members = stored(buckets.join(classes.select("rep", "odd", F.when(F.col("n") > LONG, F.col("sketch")).alias("sketch")), "rep"), "minhash-members")
     nodes = members.select("rep").distinct()
     labels = stored(nodes.select("rep", F.col("rep").alias("label")), "minhash-labels")
-    # The full sets of documents in buckets, bucketed by document: rounds then move pairs only.
+    # The full sets of documents in buckets, bucketed by document (one file each, as texts are dealt so): rounds then move pairs only.
     name = f"nodecensus_sets_{uuid.uuid4().hex}"
-    full_sets(docs.select("doc_id", "text").join(nodes.withColumnRenamed("rep", "_rep"), F.col("doc_id") == F.col("_rep"), "left_semi")).write.bucketBy(partitions(spark), "doc_id").saveAsTable(name)
-    sets, sketch = spark.table(name), classes.select("rep", "n", "sketch")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.withColumnRenamed("rep", "_rep"), F.col("doc_id") == F.col("_rep"), "left_semi")
+    full_sets(texts.repartition(partitions(spark), "doc_id")).write.bucketBy(partitions(spark), "doc_id").saveAsTable(name)
+    sets = spark.table(name)
 
     apart = sum(F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("lead_odd")[i])) for i in range(PARITY // 64))
     alike = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("lead_n")))
@@ -181,11 +185,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         open_ = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         live = stored(known.join(open_, "key", "left_semi"), "minhash-live")
         slot = F.pmod(F.xxhash64("rep"), F.lit(width))
-        leaders = stored(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("o"), "rep", "n", "label", "odd")).alias("l")).select("key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), F.col("l.odd").alias("lead_odd")), "minhash-leaders")
+        leaders = stored(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("o"), "rep", "n", "label", "odd", "sketch")).alias("l")).select("key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), F.col("l.odd").alias("lead_odd"), F.col("l.sketch").alias("lead_sketch")), "minhash-leaders")
         met = live.join(leaders, "key").where((F.col("label") != F.col("lead_label")) & alike)
-        pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        drawn = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        likely = stored(_agreeing(drawn.select("a", "b", "sketch_a", "sketch_b")), "minhash-pairs")
+        drawn = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), F.col("sketch").alias("sketch_a"), F.col("lead_sketch").alias("sketch_b"))
+        likely = _agreeing(drawn).repartition("a").distinct()  # dealt as the sets are, so that this is the only shuffle before them
         of_a = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         of_b = of_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         common = of_b.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))
@@ -194,8 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             ends = new.join(labels.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
             found = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("label", "lower")
             labels = stored(labels.join(found, F.col("label") == F.col("node"), "left").select("rep", F.coalesce("lower", "label").alias("label")), "minhash-labels")
-        members = stored(live.select("key", "rep", "n", "odd").join(leaders.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"), "minhash-buckets")
-        width *= 8
+        members = stored(live.select("key", "rep", "n", "odd", "sketch").join(leaders.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti"), "minhash-buckets")
+        width *= 32
 
     of_class = classes.select(F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), F.col("n").alias("_n"), "rep")
     out = rows.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")) & (F.col("n_shingles") == F.col("_n")), "left")
