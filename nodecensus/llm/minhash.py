@@ -169,8 +169,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     several = dealt.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     buckets = stored(dealt.join(several, "key", "left_semi"), "minhash-buckets")
     members = stored(buckets.join(classes.select("rep", "odd", F.when(F.col("n") > LONG, F.col("sketch")).alias("sketch")), "rep"), "minhash-members")
-    nodes = members.select("rep").distinct()
-    labels = stored(nodes.select("rep", F.col("rep").alias("label")), "minhash-labels")
+    labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("label")), "minhash-labels")
+    nodes = labels.select("rep")  # stored, so that Spark knows its size before it deals out texts for the join
     # The full sets of documents in buckets, bucketed by document (one file each, as texts are dealt so): rounds then move pairs only.
     name = f"nodecensus_sets_{uuid.uuid4().hex}"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.withColumnRenamed("rep", "_rep"), F.col("doc_id") == F.col("_rep"), "left_semi")
