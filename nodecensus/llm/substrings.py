@@ -29,7 +29,7 @@ from nodecensus.llm.chunks import ASKED, NO_ID, Chunks, answer, asked_rows, repe
 from nodecensus.llm.common import BYTE_VALUES, Rolling, join_texts, stored, table, word_bounds
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-TEXTS = "doc_id long, text string, n_words long, n_removed long"
+TEXTS = "doc_id long, text string, n_words long, n_removed long, digest string"
 _words, _first, _second = Rolling(1), Rolling(2), Rolling(3)
 
 
@@ -210,7 +210,9 @@ def _kept(w: Words, ids: np.ndarray, windows: np.ndarray, window: int, with_text
     doc = pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64())
     counts = {"n_words": pa.array(w.count, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
     if with_text:
-        return pa.RecordBatch.from_pydict({"doc_id": doc, "text": pa.array([t.decode() for t in texts])} | counts)
+        # Of the texts that lose words, so that their rows are found again by more than a doc_id.
+        before = [hashlib.sha256(w.data[a : b - 1].tobytes()).hexdigest() if k else None for a, b, k in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), removed.tolist(), strict=True)]
+        return pa.RecordBatch.from_pydict({"doc_id": doc, "text": pa.array([t.decode() for t in texts])} | counts | {"digest": pa.array(before, pa.string())})
     return pa.RecordBatch.from_pydict({"doc_id": doc} | counts | {"kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts])})
 
 
@@ -220,9 +222,14 @@ def dedup(docs: DataFrame, window: int = 20, base: int = 10) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame, window: int = 20, base: int = 10) -> DataFrame:
-    """docs with ``text`` replaced by the kept words joined by one space where words were removed; other columns as they are."""
-    changed = _run(docs, window, base, True).where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
-    joined = docs.join(stored(changed, "substrings-texts"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    """docs with ``text`` replaced by the kept words joined by one space where words were removed; other columns as they are.
+
+    What a row keeps depends on its doc_id and text alone, so rows are found again by both: others with the same doc_id, or
+    without any, keep their own texts.
+    """
+    changed = _run(docs, window, base, True).where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("text").alias("_text")).dropDuplicates(["_id", "_digest"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.col("text").cast("string").cast("binary"), 256) == F.col("_digest"))
+    joined = docs.join(stored(changed, "substrings-texts"), same, "left")
     return joined.withColumn("text", F.coalesce("_text", F.col("text"))).select(*docs.columns)
 
 

@@ -229,6 +229,15 @@ def test_substrings(odd):
     assert substrings.dedup(odd.limit(0)).count() == 0
 
 
+def test_substrings_documents(spark):
+    """Different texts under a null and under an equal doc_id: each keeps its own."""
+    one, two = ("".join(f"{p}{i} " for i in range(30)).strip() for p in "ab")
+    texts = [(1, one), (None, "own start " + one), (None, "another text"), (None, None), (None, "own start " + one), (7, "x " + one), (7, "y " + two), (7, "z"), (9, two + " end")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(map(tuple, substrings.dedup_documents(df).collect()), key=repr)
+    assert got == sorted([(1, one), (None, "own start"), (None, "another text"), (None, None), (None, "own start"), (7, "x"), (7, "y " + two), (7, "z"), (9, "end")], key=repr)
+
+
 def test_quality(odd):
     got = {r.doc_id: r for r in quality.score(odd).collect()}
     assert (got[2].n_words, got[2].base_failed, got[2].kept) == (0, True, False)
