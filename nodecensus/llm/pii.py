@@ -9,6 +9,9 @@ Networks have ``ROUNDS`` rounds, the round function is MD5 of key, kind, round a
 digits; dates from 1900 to 2099 use a mixed-radix network over their 73,049 = 17 * 4,297 days.  Long numbers go in blocks.
 Separators, signs, country codes and the domains' last parts stay.  What doesn't validate stays as it is.
 
+Cards and IBANs are validated before they take their place: what they may be is looked for at every place and in several lengths
+(cards by grouping, IBANs by their country's length), so numbers and words beside a value don't hide it.
+
 Everything is DataFrame functions in one narrow pass; rounds are a fold, so plans stay small.
 
 Cases: a null text stays null with no finds; an empty text stays empty; very long texts are taken whole; repeated rows and all
@@ -27,7 +30,7 @@ ROUNDS = 8
 KINDS = ("secret", "email", "iban", "date", "ssn", "ip", "phone", "card")
 #: Kind by kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![0-9.-])(?:(?:19|20)[0-9]{2}([-/.])[01][0-9]\1[0-3][0-9]|[0-3][0-9]([-/.])[01][0-9]\2(?:19|20)[0-9]{2})(?![0-9])",
@@ -36,7 +39,19 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
     "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9])",
 }
-_FIND = "|".join(f"(?:{x})" for x in PATTERNS.values())
+#: Length of the IBANs of each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+#: What may be a card or an IBAN, each looked for at every place (group 1), beside the greedy patterns above.
+FORMS = {
+    "iban": [rf"(?<![0-9A-Za-z])(?=((?:{_IBAN})(?![0-9A-Za-z])))[A-Z]"],
+    "card": [rf"(?<![0-9.-])(?=((?:{x})(?![0-9]|\.[0-9])))[1-6]" for x in ("[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", "[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}")],
+}
+#: Bounds of a validated card or IBAN.
+BOUNDS = {"iban": ("(?<![0-9A-Za-z])(?:", ")(?![0-9A-Za-z])"), "card": ("(?<![0-9.-])(?:", r")(?![0-9]|\.[0-9])")}
 
 
 def _noise(key: str, kind: str, tweak: Column, i: Column, half: Column) -> Column:
@@ -125,26 +140,29 @@ def _date(m: Column, key: str) -> Column:
     return F.when(day.isNotNull(), text)
 
 
-def _card(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
+def luhn_valid(m: Column) -> Column:
+    return let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.substr(d, F.length(d), F.lit(1)) == check_digit(F.substr(d, F.lit(1), F.length(d) - 1)))
+
+
+def iban_valid(m: Column) -> Column:
+    return let(F.regexp_replace(m, " ", ""), lambda c: iban_rest(F.substr(c, F.lit(5), F.lit(30)), F.substring(c, 1, 4)) == 1)
 
+
+def _card(m: Column, key: str) -> Column:
     def done(d: Column) -> Column:
-        payload = F.substr(d, F.lit(1), F.length(d) - 1)
-        new = let(feistel_digits(payload, key, "card"), lambda p: F.concat(p, check_digit(p)))
-        valid = F.substr(d, F.length(d), F.lit(1)) == check_digit(payload)
-        return F.when(valid, spread(m, new, "[0-9]"))
+        new = let(feistel_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), lambda p: F.concat(p, check_digit(p)))
+        return F.when(luhn_valid(m), spread(m, new, "[0-9]"))
 
-    return let(digits, done)
+    return let(F.regexp_replace(m, "[^0-9]", ""), done)
 
 
 def _iban(m: Column, key: str) -> Column:
     def done(c: Column) -> Column:
         bban, country = F.substr(c, F.lit(5), F.lit(30)), F.substring(c, 1, 2)
-        valid = iban_rest(bban, F.substring(c, 1, 4)) == 1
         digits = F.regexp_replace(bban, "[^0-9]", "")
         moved = let(feistel_long(digits, key, "iban"), lambda d: spread(bban, d, "[0-9]"))
         new = let(moved, lambda b: F.concat(country, F.lpad((98 - iban_rest(b, F.concat(country, F.lit("00")))).cast("string"), 2, "0"), b))
-        return F.when(valid, spread(m, new, "[A-Z0-9]"))
+        return F.when(iban_valid(m), spread(m, new, "[A-Z0-9]"))
 
     return let(F.regexp_replace(m, " ", ""), done)
 
@@ -216,14 +234,15 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    """Hexadecimal tokens with both digits and letters."""
-    return F.when(m.rlike("[0-9]") & m.rlike("[a-f]"), _radix(m, key, "secret", "0123456789abcdef"))
+    """Hexadecimal tokens with both digits and letters; the case stays."""
+    new = let(_radix(F.lower(m), key, "secret", "0123456789abcdef"), lambda x: F.when(m.rlike("[A-F]"), F.upper(x)).otherwise(x))
+    return F.when(m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), new)
 
 
 def _replaced(m: Column, key: str) -> Column:
     """Struct of kind and pseudonym of a match; kind null and the match itself where nothing validates."""
     made = {"email": _email, "secret": _secret, "date": _date, "ssn": _ssn, "ip": _ip, "iban": _iban, "phone": _phone, "card": _card}
-    shape = {"email": "@", "secret": "^[0-9a-f]{32,64}$", "date": r"^([0-9]{4}([-/.])[0-9]{2}\2[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\3[0-9]{4})$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", "iban": "^[A-Z]{2}[0-9]{2}", "phone": r"^\+|^\(|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$", "card": "."}
+    shape = {"email": "@", "secret": "^([0-9a-f]{32,64}|[0-9A-F]{32,64})$", "date": r"^([0-9]{4}([-/.])[0-9]{2}\2[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\3[0-9]{4})$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", "iban": "^[A-Z]{2}[0-9]{2}", "phone": r"^\+|^\(|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$", "card": "."}
     kind = None
     for k, p in shape.items():
         kind = F.when(m.rlike(p), F.lit(k)) if kind is None else kind.when(m.rlike(p), F.lit(k))
@@ -237,21 +256,33 @@ def _replaced(m: Column, key: str) -> Column:
     return let(kind, chosen)
 
 
-def found(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_FIND), F.lit(0))
+def _valid(text: Column, kind: str) -> Column:
+    """Regex of the valid cards or IBANs of a text, longer ones first; one that matches nothing if there are none."""
+    may = F.concat(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), *(F.regexp_extract_all(text, F.lit(x), F.lit(1)) for x in FORMS[kind]))
+    good = F.filter(F.array_distinct(may), {"card": luhn_valid, "iban": iban_valid}[kind])
+    first = F.transform(F.sort_array(F.transform(good, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda y: y["x"])
+    return let(first, lambda x: F.when(F.size(x) > 0, F.concat(F.lit(BOUNDS[kind][0]), F.array_join(x, "|"), F.lit(BOUNDS[kind][1]))).otherwise("(?!)"))
+
+
+def finder(text: Column) -> Column:
+    """The pattern that finds what is to be replaced in a text."""
+    return F.concat_ws("|", *(_valid(text, k) if k in FORMS else F.lit(f"(?:{x})") for k, x in PATTERNS.items()))
 
 
 def pseudonymise(docs: DataFrame, key: str = "public-example-key") -> DataFrame:
     """docs with personal values in ``text`` replaced, and ``pii``: a struct of how many of each kind."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    def spliced(new: Column) -> Column:
-        parts = F.transform(F.split(t, _FIND, -1), lambda gap, j: F.concat(gap, F.coalesce(F.get(new, j)["to"], F.lit(""))))
+    def spliced(new: Column, find: Column) -> Column:
+        parts = F.transform(F.split(t, find, -1), lambda gap, j: F.concat(gap, F.coalesce(F.get(new, j)["to"], F.lit(""))))
         count = lambda k: F.size(F.filter(new, lambda x: x["kind"] == k)).cast("long").alias(k)
         return F.struct(F.array_join(parts, "").alias("text"), F.struct(*(count(k) for k in KINDS)).alias("pii"))
 
+    def replaced(find: Column) -> Column:
+        return let(F.transform(F.regexp_extract_all(t, find, F.lit(0)), lambda m: _replaced(m, key)), lambda new: spliced(new, find))
+
     nothing = F.struct(F.col("text").cast("string").alias("text"), F.struct(*(F.lit(0).cast("long").alias(k) for k in KINDS)).alias("pii"))
-    out = F.when(t.rlike("[0-9@]"), let(F.transform(found(t), lambda m: _replaced(m, key)), spliced)).otherwise(nothing)
+    out = F.when(t.rlike("[0-9@]"), let(finder(t), replaced)).otherwise(nothing)
     return docs.withColumn("_pii", out).withColumn("text", F.col("_pii.text")).withColumn("pii", F.col("_pii.pii")).drop("_pii")
 
 

@@ -159,6 +159,25 @@ def test_pii(spark):
     assert iban != texts[7] and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_pii_beside_other_tokens(spark):
+    """Valid cards, IBANs and secrets whose neighbours could be read as a part of them."""
+    texts = ["4111 1111 1111 1111 12/25", "4111111111111111 123", "4111-1111-1111-1111-123", "123 4111111111111111", "1234567 4111 1111 1111 1111", "4222222222222 4111 1111 1111 1111", "4111 1111 1111 1111 12/03/2024",
+             "ES91 2100 0418 4502 0005 1332 EUR", "IBAN ES9121000418450200051332 2024", "AT61 1904 3002 3457 3201 BIC", "BE68 5390 0754 7034 0001", "PL61109010140000071219812874 PLN", "SE45 5000 0000 0583 9825 7466 SEK"]
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    df = spark.createDataFrame([*enumerate(texts), (50, f"TOKEN={token.upper()} {token}"), (51, "4111 1111 1111 1112 12/25, ES91 2100 0418 4502 0005 1333 EUR")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    alone = {r.text: r.to for r in pii.pseudonymise(spark.createDataFrame([(x, x) for x in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "4222222222222", "ES91 2100 0418 4502 0005 1332")], "to string, text string"), "k").select(F.col("to").alias("text"), F.col("text").alias("to")).collect()}
+    assert all(a != b for a, b in alone.items())
+    one = alone["4111 1111 1111 1111"]
+    assert [got[k].text for k in range(6)] == [f"{one} 12/25", f"{alone['4111111111111111']} 123", f"{alone['4111-1111-1111-1111']}-123", f"123 {alone['4111111111111111']}", f"1234567 {one}", f"{alone['4222222222222']} {one}"]
+    assert got[6].text.startswith(one) and "12/03/2024" not in got[6].text
+    assert got[7].text == alone["ES91 2100 0418 4502 0005 1332"] + " EUR"
+    assert all(got[k].pii["iban"] == 1 and got[k].text[-3:] == texts[k][-3:] and got[k].text != texts[k] for k in range(7, 13))
+    upper, lower = got[50].text.removeprefix("TOKEN=").split()
+    assert upper == lower.upper() and lower != token and got[50].pii["secret"] == 2
+    assert got[51].text == "4111 1111 1111 1112 12/25, ES91 2100 0418 4502 0005 1333 EUR"
+
+
 def test_feistel_is_a_permutation(spark):
     got = [r[0] for r in spark.range(1000).select(pii.feistel_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "x")).collect()]
     assert len(set(got)) == 1000 and all(len(x) == 3 for x in got)
