@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodecensus.functions.rng import draw, draw_python
-from nodecensus.sources.scratch import dense_ids
+from nodecensus.sources.scratch import dense_ids, stored
 
 DRAW, FETCH, CACHED = 100, 100, 2
 DEAD_ENDS = ("restart", "backtrack", "history")
 #: Arcs up to which the adjacency is broadcast to walks (16 bytes an arc at most).
 MOST_ARCS = 100_000_000
+#: Starts in a row without a path after which a run of short walks gives up.
+RESTARTS = 1000
 TRACE = "run int, idx long, node long, degree int, step long, walk int, cum_cost long"
 CHARGES = "run int, seq long, kind string, node long, cost long, cum_cost long"
 
@@ -56,21 +58,56 @@ def by_degree(a: DataFrame, runs: int, cap: int, seed: int = 42, group: str = "b
     return _priced(got, cap).join(deg, "node").select("run", F.col("i").cast("long").alias("idx"), "node", F.col("degree").cast("int").alias("degree"), F.col("i").cast("long").alias("step"), F.lit(0).alias("walk"), "cum_cost")
 
 
+def _depths(a: DataFrame, steps: int) -> DataFrame:
+    """id, depth: how many steps (``steps`` at most) can be walked from each node that has arcs."""
+    depth = stored(a.select(F.col("src").alias("id")).distinct().withColumn("depth", F.lit(1)), "depths")
+    for k in range(2, steps + 1):
+        longer = a.join(depth.where(F.col("depth") == k - 1).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("_id")).distinct()
+        depth = stored(depth.join(longer, F.col("id") == F.col("_id"), "left").select("id", F.when(F.col("_id").isNotNull(), k).otherwise(F.col("depth")).alias("depth")), "depths")
+    return depth
+
+
+def _starts(n: DataFrame, live: DataFrame, runs: int, need: int, key: str) -> DataFrame:
+    """run, i, key, node: starts in ``live`` among uniform draws, as many as needed, unless RESTARTS in a row are not."""
+    size, good = n.count(), live.count()
+    # Enough for all budgets, but no more than rare starts need to give up; doubled below where that was too few.
+    most = need if good == size else min(int(1.2 * need * size / good) + 100, need + 20 * RESTARTS) if good else 0
+    in_run = Window.partitionBy("run").orderBy("i")
+    while True:
+        tries = attempts(n.sparkSession, runs, most * DRAW, DRAW, key).withColumn("node", draw(F.col("key"), F.concat(F.col("i"), F.lit(".0"))) % size)
+        if good == size:
+            return tries
+        found = tries.join(live.select(F.col("id").alias("node")), "node").withColumn("failed", F.col("i") - F.lag("i", 1, -1).over(in_run) - 1)
+        found = stored(found.withColumn("most", F.max("failed").over(in_run)).where(F.col("most") < RESTARTS).select("run", "i", "key", "node"), "starts")
+        filled = found.groupBy("run").agg(F.count("*").alias("k"), F.max("i").alias("last")).agg(F.count("*").alias("runs"), F.count_if((F.col("k") < need) & (F.col("last") + RESTARTS >= most)).alias("open")).first()
+        if not good or filled["open"] == 0 and (filled["runs"] == runs or most >= RESTARTS):
+            return found
+        most *= 2
+
+
 def short_walks(n: DataFrame, a: DataFrame, runs: int, cap: int, steps: int = 5, seed: int = 42, group: str = "walk5") -> DataFrame:
     """End nodes of free walks of ``steps`` steps from uniform starts, each paid as one draw: chained joins with the adjacency.
 
-    A walk that meets a node without arcs is drawn again as a later attempt; twice the paid number is attempted.
+    At a dead end a walk backs up one step and leaves the tried branch out, and where all branches of a start are tried, another
+    start is drawn; a run ends early (no path) after RESTARTS such starts in a row.  As branches are tried at random until one
+    goes on far enough, each step is a uniform choice among the neighbours from which the rest of the steps can be walked; those
+    are known before (``_depths``), so that nothing has to be tried.
     """
     from nodecensus.operators.graph import adjacency
 
-    lists = adjacency(n, a)
-    size = n.agg(F.count("*").alias("size"))
-    most = 2 * (cap // DRAW) + 10
-    tries = attempts(n.sparkSession, runs, most * DRAW, DRAW, f"{seed}|{group}")
-    at = tries.join(F.broadcast(size)).withColumn("node", draw(F.col("key"), F.concat(F.col("i"), F.lit(".0"))) % F.col("size"))
+    dead = a.select(F.col("dst").alias("id")).join(a.select(F.col("src").alias("id")), "id", "left_anti")
+    lists, depth = adjacency(n, a).where("deg > 0"), None
+    if not dead.isEmpty():
+        depth = _depths(a, steps)
+    live = stored(a.select(F.col("src").alias("id")).distinct() if depth is None else depth.where(F.col("depth") >= steps).select("id"), "live")
+    at = _starts(n, live, runs, cap // DRAW, f"{seed}|{group}")
     for k in range(1, steps + 1):
+        if depth is not None:
+            left = steps - k
+            on = a if left == 0 else a.join(depth.where(F.col("depth") >= left).select(F.col("id").alias("dst")), "dst", "left_semi")
+            lists = adjacency(n, on).where("deg > 0")
         pick = draw(F.col("key"), F.concat(F.col("i"), F.lit(f".{k}")))
-        at = at.join(lists.where("deg > 0").select(F.col("id").alias("node"), "deg", "nbrs"), "node").withColumn("node", F.element_at("nbrs", (pick % F.col("deg") + 1).cast("int"))).drop("deg", "nbrs")
+        at = at.join(lists.select(F.col("id").alias("node"), "deg", "nbrs"), "node").withColumn("node", F.element_at("nbrs", (pick % F.col("deg") + 1).cast("int"))).drop("deg", "nbrs")
     order = Window.partitionBy("run").orderBy("i")
     ends = at.withColumn("idx", F.row_number().over(order).cast("long") - 1).where((F.col("idx") + 1) * DRAW <= cap)
     deg = a.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))

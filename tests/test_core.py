@@ -114,6 +114,30 @@ def test_experiment(spark):
     assert all(0.02 < x < 0.12 for x in of("uis__walk5"))
 
 
+def test_short_walks_with_dead_ends(spark):
+    """Walks back up from dead ends: budgets are filled, and the last steps are uniform choices."""
+    n = spark.range(60)  # most starts have no path
+    a = spark.createDataFrame([(0, 1), (0, 2), (1, 0), (1, 3), (4, 2)], "src long, dst long")
+    got = draws.short_walks(n, a, 2, 40_000).collect()
+    assert sorted((r["run"], r["idx"]) for r in got) == [(r, i) for r in range(2) for i in range(400)]
+    assert all(140 < sum(r["node"] == u for r in got) < 260 for u in range(4))
+    # From 0, paths of two steps end at 3 or, by 1, at 0 again; 2 is no way to go.
+    two = draws.short_walks(spark.range(2), a.where("src < 2"), 1, 40_000, 2).collect()
+    assert len(two) == 400 and all(60 < sum(r["node"] == u for r in two) < 140 for u in range(4))
+    assert draws.short_walks(spark.range(2), spark.createDataFrame([(0, 1)], "src long, dst long"), 2, 1000).count() == 0
+    # A path from one start in 20,000: runs give up.
+    assert draws.short_walks(spark.range(20_000), spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long"), 2, 100_000).count() < 100
+
+
+def test_no_path(spark):
+    """A directed graph without paths of five steps gives rows without estimates; the view turned round too."""
+    edges = spark.createDataFrame([(f"p{i}", f"s{i % 3}") for i in range(20)], "s string, d string")
+    r = experiment.run(edges, "g", ["uis__walk5", "wis-katzir__walk5"], ("directed", "reverse", "undirected"), (0.1, 0.5), 3)[0].collect()
+    assert len(r) == 2 * 3 * 2 * 3
+    assert all((x["estimate"], x["stopped_by"], x["queries_used"], x["extra_n_samples"]) == (None, "no_path", 0.0, 0) for x in r if x["view"] != "undirected")
+    assert all((x["stopped_by"], x["queries_used"]) == ("budget", x["budget_abs"]) for x in r if x["view"] == "undirected")
+
+
 def test_random():
     assert draw_python("42|x", 1) == 1803196262
 
