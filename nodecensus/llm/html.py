@@ -9,10 +9,12 @@ takes its importance by half from its parent's presentation: a parent laid out a
 
 Menus, forms, adverts and the like have tags, roles or class names of their own; those branches have no importance at
 all, whatever the tree says (a host with one page has no tree).  Where a page marks its article (article, main, role=main), text
-outside it is not important and text inside is not weighed by content, so pages that are copies of each other keep their text.
+outside it is not important; text inside is weighed like that of other pages, so that author boxes, notices and the like that a
+host repeats are cut there too.  Pages that are copies of each other keep their text: copies count as one page in the tree, plain
+headings of an article stay, and an article of which less than a tenth would be left stays whole.
 
-The tree is counted with partial aggregation by (host, path, content); no host's pages are gathered, and only pages without a
-marked article are joined with it, block by block.
+The tree is counted with partial aggregation by (host, path, content, page); no host's pages are gathered.  Only what is to be cut
+goes back to the pages, as the paths of each page.
 
 Cases: null html counts as empty and gives an empty text; broken markup (unclosed or stray tags, cut-off pages) is read as far as
 it goes; very long pages are taken whole; ties don't arise (blocks keep their order); repeated rows give repeated results; a null
@@ -51,7 +53,12 @@ NOISE_WORDS = {
     "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion", "feedback", "skip", "hidden",
 }
 MAIN_TAGS, MAIN_ROLES = {"article", "main"}, {"main", "article"}
-PARSED = "row long, page_id long, url string, host string, main string, blocks array<struct<path: string, style: long, content: long, text: string>>"
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Share of an article's text that has to be left where branches are cut: less means that pages are copies, not that they share an ornament.
+LEFT = 0.1
+#: style and page: digests of a page's paths and of its paths with texts.  A block's path and content are digests; text is null
+#: outside a marked article, and ``stays`` marks plain headings of an article.
+PARSED = "row long, page_id long, url string, host string, marked boolean, style long, page long, blocks array<struct<path: long, content: long, stays: boolean, text: string>>"
 
 
 def _noise(tag: str, attributes: str) -> tuple[bool, bool, str]:
@@ -135,32 +142,32 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, str]]:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """PARSED: the text of pages that mark their article; the blocks that aren't noise of those that don't."""
+    """PARSED: of every page the blocks that aren't noise."""
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))))
-    block = pa.struct([("path", pa.string()), ("style", pa.int64()), ("content", pa.int64()), ("text", pa.string())])
+    block = pa.struct([("path", pa.int64()), ("content", pa.int64()), ("stays", pa.bool_()), ("text", pa.string())])
 
     def run(batches):
         digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
         for batch in batches:
-            mains, kept = [], []
+            marks, styles, whole, kept = [], [], [], []
             for html in batch.column("html").to_pylist():
                 found = blocks_of(html or "")
                 marked = any(main for _, main, _, _ in found)
-                good = [(path, text) for path, main, noise, text in found if not noise and (main or not marked)]
-                style = digest("|".join(path for path, _ in good))
-                mains.append(" ".join(text for _, text in good) if marked or not good else None)
-                kept.append([] if marked else [{"path": p, "style": style, "content": digest(x), "text": x} for p, x in good])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page_id", "url", "host")), pa.array(mains, pa.string()), pa.array(kept, pa.list_(block))], ["row", "page_id", "url", "host", "main", "blocks"])
+                good = [(path, main, text) for path, main, noise, text in found if not noise]
+                marks.append(marked)
+                styles.append(digest("|".join(path for path, _, _ in good)))
+                whole.append(digest("\0".join(x for path, _, text in good for x in (path, text))))
+                kept.append([{"path": digest(path), "content": digest(text), "stays": main and path.rpartition("/")[2] in HEADINGS and path.rpartition("/")[0].rpartition("/")[2].split(".")[0].split("#")[0] in MAIN_TAGS, "text": text if main or not marked else None} for path, main, text in good])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "page_id", "url", "host")), pa.array(marks, pa.bool_()), pa.array(styles, pa.int64()), pa.array(whole, pa.int64()), pa.array(kept, pa.list_(block))], ["row", "page_id", "url", "host", "marked", "style", "page", "blocks"])
 
     return rows.mapInArrow(run, PARSED)
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """Importance of each (host, path) from the blocks of pages without a marked article."""
-    open_ = parsed.where(F.col("main").isNull())
-    hosts = open_.groupBy("host").agg(F.count("*").alias("m"))
-    seen = open_.select("host", "row", F.explode("blocks").alias("b")).select("host", "row", "b.path", "b.style", "b.content")
+    """Importance of each (host, path) from the blocks of all pages; copies of a page count once."""
+    seen = parsed.select("host", "page", "style", F.explode("blocks").alias("b")).select("host", "page", "style", "b.path", "b.content").distinct()
+    hosts = parsed.where(F.size("blocks") > 0).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m"))
     entropy = lambda k, m: F.when(m > 1, F.log(k.cast("double")) / F.log(m.cast("double"))).otherwise(0.0)
     contents = seen.groupBy("host", "path", "content").agg(F.count("*").alias("k"))
     styles = seen.groupBy("host", "path", "style").agg(F.count("*").alias("k")).groupBy("host", "path").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.log(F.col("k").cast("double"))).alias("kl"))
@@ -175,14 +182,17 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per page.  See the module's text."""
     parsed = stored(parse(pages), "html-blocks")
-    tree = stored(style_tree(parsed), "html-tree")
-    done = parsed.where(F.col("main").isNotNull()).select("page_id", "url", F.col("main").alias("text"))
-    blocks = parsed.where(F.col("main").isNull()).select("row", "page_id", "url", "host", F.posexplode("blocks").alias("at", "b"))
-    weighed = blocks.join(tree.withColumnsRenamed({"host": "_host", "path": "_path"}), (F.col("host") == F.col("_host")) & (F.col("b.path") == F.col("_path")), "left")
-    good = F.coalesce(F.col("importance"), F.lit(1.0)) >= LEAST
-    rest = weighed.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.array_sort(F.collect_list(F.when(good, F.struct("at", "b.text")))).alias("kept"))
-    rest = rest.select("page_id", "url", F.array_join(F.transform("kept", lambda x: x["text"]), " ").alias("text"))
-    return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    low = stored(style_tree(parsed).where(F.col("importance") < LEAST).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "html-tree")
+    rows = parsed.withColumn("cut", F.array().cast("array<bigint>"))
+    if not low.isEmpty():
+        paths = parsed.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["path"]))).alias("path"))
+        cut = paths.join(low, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))).groupBy(F.col("row").alias("_row")).agg(F.collect_list("path").alias("cut"))
+        rows = parsed.join(cut, F.col("row") == F.col("_row"), "left")
+    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), " ")
+    rows = rows.withColumn("all", joined(F.col("blocks")))  # blocks outside an article have no text
+    rows = rows.withColumn("text", F.when(F.coalesce(F.size("cut"), F.lit(0)) <= 0, F.col("all")).otherwise(joined(F.filter("blocks", lambda b: b["stays"] | ~F.array_contains("cut", b["path"])))))
+    whole = F.col("marked") & (F.length("text") < LEFT * F.length("all"))
+    return rows.select("page_id", "url", F.when(whole, F.col("all")).otherwise(F.col("text")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

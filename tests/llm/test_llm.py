@@ -193,6 +193,18 @@ def test_html(spark):
     assert got[12].text == "Unique 2 text"
 
 
+def test_html_boxes_in_articles(spark):
+    """What a host repeats in its articles is cut; copies of a page, and articles alike but for a line, keep their text."""
+    body = "".join(f"<p>Paragraph {k} of a text.</p>" for k in range(9))
+    box = '<div class="author-box"><p>Written by the staff of this site.</p></div>'
+    page = "<body><p class=top>Site</p><article><h1>News</h1><div class=c><p>Text {0} is its own.</p></div>{1}</article>"
+    df = spark.createDataFrame([(i, f"http://a/{i}", page.format(i, box)) for i in range(6)] + [(10 + i, f"http://b/{i}", page.format(0, box)) for i in range(6)] + [(20 + i, f"http://c/{i}", f"<article><p class=date>Day {i}</p><div class=c>{body}</div></article>") for i in range(6)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert [got[i] for i in range(6)] == [f"News Text {i} is its own." for i in range(6)]
+    assert {got[10 + i] for i in range(6)} == {"News Text 0 is its own. Written by the staff of this site."}
+    assert all(got[20 + i].startswith(f"Day {i} Paragraph 0") and got[20 + i].endswith("8 of a text.") for i in range(6))
+
+
 def test_html_articles(spark):
     pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
     from html import unescape
