@@ -8,7 +8,8 @@ takes its importance by half from its parent's presentation: a parent laid out a
 ``LEAST`` are cut from each page.
 
 Menus, forms, adverts and the like have tags, roles or class names of their own; those branches have no importance at
-all, whatever the tree says (a host with one page has no tree).  Where a page marks its article (article, main, role=main), text
+all, whatever the tree says (a host with one page has no tree).  Inside an article only whole class and id values count as such
+names (``related``, not ``related-work``), and ids of headings and sections, which are anchors, don't; the tree decides the rest.  Where a page marks its article (article, main, role=main), text
 outside it is not important; text inside is weighed like that of other pages, so that author boxes, notices and the like that a
 host repeats are cut there too.  Pages that are copies of each other keep their text: copies count as one page in the tree, plain
 headings of an article stay, and an article of which less than a tenth would be left stays whole.
@@ -54,6 +55,7 @@ NOISE_WORDS = {
 }
 MAIN_TAGS, MAIN_ROLES = {"article", "main"}, {"main", "article"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ANCHORED = HEADINGS | {"section"}
 #: Share of an article's text that has to be left where branches are cut: less means that pages are copies, not that they share an ornament.
 LEFT = 0.1
 #: style and page: digests of a page's paths and of its paths with texts.  A block's path and content are digests; text is null
@@ -61,15 +63,17 @@ LEFT = 0.1
 PARSED = "row long, page_id long, url string, host string, marked boolean, style long, page long, blocks array<struct<path: long, content: long, stays: boolean, text: string>>"
 
 
-def _noise(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """Whether an element is noise, whether it is a main container, and its mark in paths."""
+def _noise(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element is noise (``inside`` a main container or not), whether it is a main container, and its mark in paths."""
     noise, main, mark = tag in NOISE_TAGS, tag in MAIN_TAGS, tag
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
                 mark += "." + ".".join(value.split()) if name == "class" else "#" + re.sub(r"\d+", "0", value)
-                if tag not in ("html", "body", "article", "main"):
+                if inside:
+                    noise |= tag not in MAIN_TAGS and (name == "class" or tag not in ANCHORED) and any(w in NOISE_WORDS for w in value.split())
+                elif tag not in ("html", "body", "article", "main"):
                     noise |= any(w in NOISE_WORDS for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower()))
             elif name == "role":
                 noise |= value in NOISE_ROLES
@@ -83,7 +87,7 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, str]]:
     """Blocks in page order: path, inside a main container, noise, text."""
     out: list[tuple[str, bool, bool, str]] = []
     stack: list[tuple[str, bool, bool, str]] = []  # tag, noise, main, path; each holds what it inherits
-    known: dict[tuple[str, str], tuple[bool, bool, str]] = {}
+    known: dict[tuple[str, str, bool], tuple[bool, bool, str]] = {}
     parts: list[str] = []
     at = 0
 
@@ -119,9 +123,10 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, str]]:
             continue
         if tag in VOID or m[4].endswith("/") and tag not in NOISE_TAGS | MAIN_TAGS:
             continue
-        if (tag, m[4]) not in known:
-            known[tag, m[4]] = _noise(tag, m[4])
-        noise, main, mark = known[tag, m[4]]
+        inside = bool(stack) and stack[-1][2]
+        if (tag, m[4], inside) not in known:
+            known[tag, m[4], inside] = _noise(tag, m[4], inside)
+        noise, main, mark = known[tag, m[4], inside]
         if not inline and stack:
             # A block ends an open paragraph; an item ends the item before it.
             closes = {"p"} if tag not in ("li", "dt", "dd", "td", "th", "tr", "option") else {"p", tag} | ({"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th", "tr") else set())

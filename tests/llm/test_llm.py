@@ -205,6 +205,14 @@ def test_html_boxes_in_articles(spark):
     assert all(got[20 + i].startswith(f"Day {i} Paragraph 0") and got[20 + i].endswith("8 of a text.") for i in range(6))
 
 
+def test_html_anchors_in_articles(spark):
+    """Words of noise within ids and classes of an article's own parts; whole values are noise still."""
+    own = '<h2 id="related-work">One</h2><section id="discussion"><p>two</p></section><div id="search-algorithms">three</div><p id="notice-period">four</p><div class="content hidden-print">five</div><p class="searchWord">six</p>'
+    noise = '<div class="x related">no</div><div id="comments">no</div><section class="share">no</section><p role="search">no</p><nav id="n">no</nav>'
+    df = spark.createDataFrame([(1, "http://a/1", f"<body><div id=site-search>no</div><article>{own}{noise}</article>")], "page_id long, url string, html string")
+    assert html.extract(df).first().text == "One two three four five six"
+
+
 def test_html_articles(spark):
     pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
     from html import unescape
