@@ -5,7 +5,7 @@
 coordinate is filled at the latest then.  A bin keeps the least (round, value); a document is through once all its bins are filled,
 mostly after a few rounds.  The share of equal coordinates concentrates about the sets' similarity.
 
-*Banding.*  BANDS bands of BINS / BANDS coordinates; sets as similar as 0.85 miss all bands with a probability under 1e-10.
+*Banding.*  Bands of a few coordinates (see ``LAYOUTS``); sets as similar as asked miss all bands with a probability under 1e-10.
 Documents with equal sets are one class before that, so groups of copies are one row.
 
 *Verification.*  In a bucket no pairs are listed.  In each round 1, 32, 1024, ... leaders of each bucket (chosen by hashes within an
@@ -15,7 +15,7 @@ The join of leaders and members itself drops pairs whose sizes differ too much o
 parity of the elements hashed to it, those that differ are never more than the sets' symmetric difference, so that no link is lost by
 it; it keeps large groups of texts that are alike, but less than asked for, from being paired.
 A pair that is left is verified on full sets; if both are too long for odd sketches to tell (over ``LONG`` shingles), only if at least
-``AGREE`` of the coordinates are equal (a similar pair falls below with a probability under 1e-10).  New links are contracted to the labels of their ends and joined to components by least labels with jumps.  All steps are joins and aggregations;
+so many of the coordinates are equal as ``LAYOUTS`` says (a similar pair falls below with a probability under 1e-10).  New links are contracted to the labels of their ends and joined to components by least labels with jumps.  All steps are joins and aggregations;
 nothing is collected and nothing broadcast but what Spark knows to be small.
 
 Cases: null and empty texts have empty sets and stay alone; shorter texts have one shingle, their words; rows with one doc_id count
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from nodecensus.llm.common import BYTE_VALUES, Rolling, batches_of_texts, join_texts, mix, partitions, stored, table, text_of, utf8, word_bounds
 
-SHINGLE, BINS, BANDS, AGREE, PARITY, LONG = 5, 128, 32, 77, 512, 1500
+SHINGLE, BINS, PARITY, LONG = 5, 128, 512, 1500
+#: From which percentage on: bands, coordinates of a band, and coordinates of a similar pair that are equal at least.
+LAYOUTS = {85: (32, 4, 77), 80: (34, 3, 71)}
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>, odd array<long>"
 SETS = "doc_id long, shingles array<long>"
 _words, _shingles = Rolling(21), Rolling(22)
@@ -94,9 +96,15 @@ def _each_block(batches, limit: int = 512 << 10):
             yield batch.column("doc_id").slice(at, to - at), utf8(batch.column("text"), at, to)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def layout(percent: int) -> tuple[int, int, int]:
+    for least, x in LAYOUTS.items():
+        if least <= percent <= 100:
+            return x
+    raise ValueError(f"bands and agreement are laid out for similarities of {min(LAYOUTS)} % and more")
+
+
+def sketched(docs: DataFrame, bands_: int, rows: int) -> DataFrame:
     """SKETCH of every row."""
-    rows = BINS // BANDS
 
     def run(batches):
         for ids, texts in _each_block(batches):
@@ -107,12 +115,12 @@ def sketched(docs: DataFrame) -> DataFrame:
             np.add.at(a, own, mix(h))
             np.add.at(b, own, mix(h ^ np.uint64(0x5555555555555555)))
             s = sketches(n, own, h)
-            keys = np.zeros((n, BANDS), np.uint64)
+            keys = np.zeros((n, bands_), np.uint64)
             for k in range(rows):
-                keys = mix(keys + s[:, k::rows] + np.uint64(k + 1))
-            keys = mix(keys ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(40))[None, :])
+                keys = mix(keys + s[:, k::rows][:, :bands_] + np.uint64(k + 1))
+            keys = mix(keys ^ (np.arange(bands_, dtype=np.uint64) << np.uint64(40))[None, :])
             small = (mix(s) & np.uint64(255)).astype(np.uint8)
-            bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(count > 0, BANDS, 0))), pa.int32()), pa.array(keys[count > 0].reshape(-1).astype(np.int64)))
+            bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(count > 0, bands_, 0))), pa.int32()), pa.array(keys[count > 0].reshape(-1).astype(np.int64)))
             odd = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (PARITY // 64), pa.int32()), pa.array(odd_sketches(n, own, h).reshape(-1).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array([x.tobytes() for x in small], pa.binary()), bands, odd], ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "bands", "odd"])
 
@@ -143,15 +151,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sketch_a, sketch_b) of which enough coordinates are equal; a sketch that is null agrees with all."""
+def _agreeing(pairs: DataFrame, agree: int) -> DataFrame:
+    """Pairs (a, b, sketch_a, sketch_b) of which ``agree`` coordinates are equal; a sketch that is null agrees with all."""
 
     def run(batches):
         for batch in batches:
             good = np.ones(batch.num_rows, bool)
             told = np.flatnonzero(np.asarray(batch.column("sketch_a").is_valid()) & np.asarray(batch.column("sketch_b").is_valid()))
             a, b = (np.frombuffer(b"".join(batch.column(c).take(pa.array(told)).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-            good[told] = (a == b).sum(1) >= AGREE
+            good[told] = (a == b).sum(1) >= agree
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -159,10 +167,9 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.  Links are 100 * intersection >= percent * union; see the module's text."""
-    if not 85 <= percent <= 100:
-        raise ValueError("bands and agreement are laid out for similarities of 85 % and more")
+    n_bands, of_band, agree = layout(percent)
     spark = docs.sparkSession
-    rows = stored(sketched(docs), "minhash-sketches")
+    rows = stored(sketched(docs, n_bands, of_band), "minhash-sketches")
     full = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "sketch", "bands", "odd")).alias("x")).select("fp1", "fp2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.bands").alias("bands"), F.col("x.odd").alias("odd")), "minhash-classes")
     dealt = classes.select(F.explode("bands").alias("key"), "rep", "n").repartition(partitions(spark), "key")
@@ -188,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         leaders = stored(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("o"), "rep", "n", "label", "odd", "sketch")).alias("l")).select("key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), F.col("l.odd").alias("lead_odd"), F.col("l.sketch").alias("lead_sketch")), "minhash-leaders")
         met = live.join(leaders, "key").where((F.col("label") != F.col("lead_label")) & alike)
         drawn = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), F.col("sketch").alias("sketch_a"), F.col("lead_sketch").alias("sketch_b"))
-        likely = _agreeing(drawn).repartition("a").distinct()  # dealt as the sets are, so that this is the only shuffle before them
+        likely = _agreeing(drawn, agree).repartition("a").distinct()  # dealt as the sets are, so that this is the only shuffle before them
         of_a = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         of_b = of_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         common = of_b.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))

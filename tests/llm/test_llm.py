@@ -123,6 +123,18 @@ def test_minhash_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == brute_components(texts)
 
 
+def test_minhash_from_80(spark):
+    """Near-duplicates from 80 % on, and from 85 % by default."""
+    base = [f"w{i}" for i in range(204)]
+    texts = [(1, " ".join(base)), (2, " ".join([*base[:100], "x", *base[101:]])), (3, " ".join([*base[:50], "x", *base[51:100], "y", *base[101:150], "z", *base[151:180], "v", *base[181:]])), (4, " ".join([*base[:20], "1", *base[21:50], "2", *base[51:80], "3", *base[81:110], "4", *base[111:140], "5", *base[141:]]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    # Of 200 shingles each changed word replaces five: 195 of 205 (0.95), 180 of 220 (0.82) and 175 of 225 (0.78) are common.
+    assert {r.doc_id for r in minhash.keep_one(df, 80).collect()} == {1, 4}
+    assert {r.doc_id for r in minhash.keep_one(df).collect()} == {1, 3, 4}
+    with pytest.raises(ValueError, match="80 %"):
+        minhash.keep_one(df, 79)
+
+
 def test_topk(spark):
     v = spark.createDataFrame([(0, [1.0, 2.0]), (50, [1.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [-1.0, -3.0]), (5, [0.5, 0.5]), (6, [0.5, 0.5])], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0"), 2).collect()))
