@@ -14,7 +14,7 @@ THINNINGS = ("none", "simple", "shifted", "by_walk")
 
 def prefix(trace: DataFrame, ladder: DataFrame) -> DataFrame:
     """Each budget's part of the trace: rows whose cost up to them is within the budget (a ladder has a few rows)."""
-    return trace.join(F.broadcast(ladder.select("budget_rel", "budget_abs", "cap").limit(1000)), F.col("cum_cost") <= F.col("cap"))
+    return trace.join(ladder.select("budget_rel", "budget_abs", "cap"), F.col("cum_cost") <= F.col("cap"))
 
 
 def thinned(trace: DataFrame, how: str = "none", step: int = 5) -> DataFrame:

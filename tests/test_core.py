@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from nodecensus.functions.rng import draw_python
 from nodecensus.operators import draws, estimate, graph, results
@@ -80,6 +81,12 @@ def test_prefix(dead_end):
         assert short == [s for s in long if s[5] <= cap]
 
 
+def test_prefix_of_many_budgets(spark):
+    trace = spark.createDataFrame([(0, 100)], "node long, cum_cost long")
+    ladder = spark.range(1500).select((F.col("id") / 1500).alias("budget_rel"), (F.col("id") + 1).alias("budget_abs"), ((F.col("id") + 1) * 100).alias("cap"))
+    assert estimate.prefix(trace, ladder).count() == 1500
+
+
 def test_ladder():
     assert experiment.ladder(210, (0.1, 0.005, 0.01)) == [(0.01, 2), (0.1, 21)]
     assert experiment.ladder(50, (0.05, 0.07)) == [(0.05, 2), (0.07, 4)]  # 2.5 rounds to even, 3.5 too
