@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from nodecensus.llm.common import partitions, text_of, utf8
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of questions that one bucket is meant to hold.
 BUCKET_BYTES = 24 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -135,6 +135,13 @@ def unpack_columns(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def each_row(batches):
+    """The rows of Arrow batches, one at a time, so that a batch of large rows isn't held twice."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def asked_rows(chunk: int, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """ASKED rows of one chunk: for each bucket that its keys fall into, the columns of those keys."""
     order, present, starts = deal_keys(keys, buckets)
@@ -143,7 +150,8 @@ def asked_rows(chunk: int, keys: np.ndarray, columns: list[np.ndarray], buckets:
 
 
 def answer(asked: DataFrame, decide, kinds: tuple) -> DataFrame:
-    """ANSWERED: ``decide(columns)`` gets the questions of a bucket, one after the other, and returns a boolean or a small number for each key."""
+    """ANSWERED: ``decide(columns)`` gets the questions of a bucket, one after the other, and returns a boolean or a small number for each key.
+    Questions with nothing but zeros for an answer have none."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.select(["chunk", "n", "data"]).to_pylist()
@@ -151,7 +159,8 @@ def answer(asked: DataFrame, decide, kinds: tuple) -> DataFrame:
         said = decide(*columns)
         ends = np.cumsum([x["n"] for x in rows])
         bits = [np.packbits(said[e - x["n"] : e]).tobytes() if said.dtype == bool else said[e - x["n"] : e].tobytes() for x, e in zip(rows, ends.tolist(), strict=True)]
-        return pa.table({"chunk": t.column("chunk").cast(pa.int64()), "bucket": t.column("bucket").cast(pa.int64()), "bits": pa.array(bits, pa.binary())})
+        some = np.array([x.count(0) < len(x) for x in bits], bool)
+        return pa.table({"chunk": t.column("chunk").cast(pa.int64()), "bucket": t.column("bucket").cast(pa.int64()), "bits": pa.array(bits, pa.binary())}).filter(pa.array(some))
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
 
@@ -162,6 +171,8 @@ def told(keys: np.ndarray, answers: list[dict] | None, buckets: int, kind=bool)
     by = {x["bucket"]: x["bits"] for x in answers or []}
     order, present, starts = deal_keys(keys, buckets)
     for b, a, e in zip(present.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b not in by:
+            continue
         raw = np.frombuffer(by[b], np.uint8)
         out[order[a:e]] = np.unpackbits(raw, count=e - a).astype(bool) if kind is bool else raw
     return out

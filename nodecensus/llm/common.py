@@ -27,10 +27,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def chained(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
+    """Digest of the pair (a, b), element by element.  Not a polynomial: every step is mixed, so that no pattern of symbols makes
+    different strings equal; two odd numbers give two independent digests, 128 bits together."""
+    return mix(a * np.uint64(odd) + b)
+
+
+#: Multipliers of the two halves of a digest.
+ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Places in a word whose byte values come from a table; those behind are made one by one.
+PLACES = 64
+#: Bytes of words that are digested at once, whatever the length of a text.
+SLAB = 1 << 20
+_place_values: dict[int, np.ndarray] = {}
+
+
+def word_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, half: int) -> np.ndarray:
+    """64-bit digests of the words data[start:end]: a random value for each (place, byte), added up and mixed.
+
+    Words that differ anywhere get sums that differ by independent random numbers, whatever pattern their bytes have.
+    """
+    odd = np.uint64(ODD[half])
+    if half not in _place_values:
+        _place_values[half] = mix((np.arange(PLACES << 8, dtype=np.uint64) + np.uint64(1)) * odd)
+    values, size = _place_values[half], (end - start).astype(np.int64)
+    out, ends, at = np.empty(len(start), np.uint64), np.cumsum(size), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, "right")))
+        n = size[at:to]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        key = (place << 8) | data[place + np.repeat(start[at:to], n)]
+        far = place >= PLACES
+        if far.any():
+            x = np.where(far, mix((key.astype(np.uint64) + np.uint64(1)) * odd), values[np.where(far, 0, key)])
+        else:
+            x = values[key]
+        out[at:to] = mix(np.add.reduceat(x, first) + n.astype(np.uint64) * odd)
+        at = to
+    return out
+
+
 class Rolling:
     """Digests of slices of a sequence of 64-bit values: sum of value * base**position, modulo 2**64, shifted home.
 
-    ``base`` is odd, so that it has an inverse.  ``seed`` chooses base and finaliser; two seeds give 128 bits.
+    Patterns such as Thue-Morse words collide here, so these digests only *choose* (anchors); they never decide equality.
+    ``base`` is odd, so that it has an inverse.  ``seed`` chooses base and finaliser.
     """
 
     def __init__(self, seed: int) -> None:

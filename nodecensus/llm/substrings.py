@@ -1,18 +1,21 @@
 """Operator 9: substring deduplication by level-wise doubling.
 
 A window of ``window`` words is removed wherever its word sequence also starts earlier (smaller doc_id, or the same document and
-an earlier start).  Whether a window repeats is asked level by level: first for strings of ``base`` words; only where such a
-string occurs again anywhere is it extended to twice its length and asked anew, until the window's length is reached; what
-is unique at one level has no candidates at the next.  At the lower levels not every string is asked: within each window the
-string with the least digest stands for it (equal windows choose equal strings at equal places, so no repeat is lost), which
-leaves about one in six.  At the last level all windows around surviving strings are asked, with 96-bit digests, and
-the answer is which chunk holds the first occurrence.
+an earlier start).  Whether a window repeats is asked level by level: first for strings of ``base`` words; only windows whose
+string occurs again anywhere are asked anew with a string of twice its length, and so on until the window's length is reached or
+no candidate is left.  At the lower levels not every string is asked: within each window the string with the least
+digest stands for it, chosen anew at each level (equal windows choose equal strings at equal places, so no repeat is lost), which
+leaves about one in eight.  At the last level all windows still alive are asked, and the answer is which chunk holds the first
+occurrence.
+
+Strings are known by digests built by doubling too: the digest of a string mixes those of its two halves.  Nothing in it is a
+polynomial, so that texts made of patterns don't collide; the last level, which decides, uses 128 bits in two independent halves.
 
 Questions and answers go by chunk (see ``chunks``): a passage that a third of all documents share costs one key per chunk.
 
 Cases: null texts have no words; texts shorter than a window lose nothing; a document's repeats of its own windows count, the
 first stays; rows that repeat a doc_id count as one place (same doc_id and start is not earlier), so equal rows get equal
-results; a null doc_id comes after all others; very long texts are taken whole; empty tables give no rows; other columns aren't
+results; a null doc_id comes after all others; very long texts are taken whole (some 25 bytes of memory a byte); empty tables give no rows; other columns aren't
 read, and ``dedup_documents`` returns them unchanged.
 """
 
@@ -25,30 +28,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodecensus.llm.chunks import ASKED, NO_ID, Chunks, answer, asked_rows, repeated, text_blocks, told, window_minima
-from nodecensus.llm.common import BYTE_VALUES, Rolling, join_texts, stored, table, word_bounds
+from nodecensus.llm.chunks import ASKED, NO_ID, Chunks, answer, asked_rows, each_row, repeated, text_blocks, told, window_minima
+from nodecensus.llm.common import ODD, chained, join_texts, stored, table, word_bounds, word_digests
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 TEXTS = "doc_id long, text string, n_words long, n_removed long, digest string"
-_words, _first, _second = Rolling(1), Rolling(2), Rolling(3)
 
 
 class Words:
-    """The words of a block of texts: bounds, digests, and prefix sums for digests of word strings."""
+    """The words of a block of texts: bounds, and digests of word strings by doubling."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.data, self.bounds = join_texts(texts)
         self.start, self.end, self.first = word_bounds(self.data, self.bounds)
-        sums = _words.sums(BYTE_VALUES[self.data])
-        digests = _words.slices(sums, self.start, self.end)
-        self.sums, self.sums2 = _first.sums(digests), _second.sums(digests)
         self.count = np.diff(self.first)
-
-    def strings(self, at: np.ndarray, length: int) -> np.ndarray:
-        return _first.slices(self.sums, at, at + length)
-
-    def second(self, at: np.ndarray, length: int) -> np.ndarray:
-        return (_second.slices(self.sums2, at, at + length) >> np.uint64(32)).astype(np.uint32)
+        self.made: dict[tuple[int, int], np.ndarray] = {}
+
+    def strings(self, length: int, half: int = 0) -> np.ndarray:
+        """Digests of the ``length`` words from each word on (those that cross texts mean nothing): two strings of the largest power
+        of two below make one, one from the start and one up to the end."""
+        if (length, half) not in self.made:
+            if length == 1:
+                out = word_digests(self.data, self.start, self.end, half)
+            else:
+                part = 1 << (length - 1).bit_length() - 1
+                x, n = self.strings(part, half), max(0, len(self.start) - length + 1)
+                out = chained(x[:n], x[length - part :][:n], ODD[half] + 2 * length)
+            self.made[length, half] = out
+        return self.made[length, half]
 
     def windows(self, length: int) -> np.ndarray:
         """Start (word number in the block) of every window that lies within one text."""
@@ -58,46 +65,38 @@ class Words:
         return at[at + length <= self.first[own[at] + 1]] if len(at) else at
 
 
-def _anchors(w: Words, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows' starts, and for each the start of the string of ``length`` words that stands for it."""
-    at = w.windows(window)
-    if not len(at):
-        return at, at
-    digests = w.strings(np.arange(len(w.start) - length + 1), length)
-    return at, window_minima(digests, window - length + 1)[at]
+def _anchors(w: Words, alive: np.ndarray, window: int, length: int) -> np.ndarray:
+    """For each of the windows the start of the string of ``length`` words within it that stands for it."""
+    return window_minima(w.strings(length), window - length + 1)[alive] if len(alive) else alive
 
 
-def _level_keys(blocks: list[Words], window: int, lengths: list[int], answers: list, buckets: list[int], upto: int):
-    """For the lower levels up to ``upto``: sorted distinct keys of that level, whether each occurs several times, and per block the
-    windows that survived the levels before with their anchors."""
-    alive = [_anchors(w, window, lengths[0]) for w in blocks]
-    for level in range(upto + 1):
-        length = lengths[level]
-        own = [w.strings(np.unique(a), length) for w, (_, a) in zip(blocks, alive, strict=True)]
+def _level(blocks: list[Words], window: int, lengths: list[int], answers: list, buckets: list[int], upto: int):
+    """Windows per block that survive the levels before ``upto``, and that level's questions: their anchors, and the sorted distinct
+    digests with whether each occurs several times."""
+    alive = [w.windows(window) for w in blocks]
+    for level, length in enumerate(lengths[: upto + 1]):
+        anchors = [_anchors(w, at, window, length) for w, at in zip(blocks, alive, strict=True)]
+        own = [w.strings(length)[np.unique(a)] for w, a in zip(blocks, anchors, strict=True) if len(a)]
         keys, counts = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
         if level == upto:
-            return keys, counts > 1, alive
-        good = told(keys, answers[level], buckets[level])
-        for k, (w, (at, a)) in enumerate(zip(blocks, alive, strict=True)):
-            hit = good[np.searchsorted(keys, w.strings(a, length))] if len(a) else np.zeros(0, bool)
-            alive[k] = at[hit], a[hit]
-    raise AssertionError
+            return alive, anchors, keys, counts > 1
+        alive = _alive(blocks, alive, anchors, keys, told(keys, answers[level], buckets[level]), length)
+    return alive, None, None, None
 
 
-def _survivors(blocks, window, lengths, answers, buckets):
-    """Windows (start words) per block after all lower levels."""
-    keys, _, alive = _level_keys(blocks, window, lengths, answers, buckets, len(lengths) - 1)
-    good = told(keys, answers[len(lengths) - 1], buckets[len(lengths) - 1])
-    return [at[good[np.searchsorted(keys, w.strings(a, lengths[-1]))]] if len(a) else at for w, (at, a) in zip(blocks, alive, strict=True)]
+def _alive(blocks, alive, anchors, keys, good, length: int) -> list[np.ndarray]:
+    return [at[good[np.searchsorted(keys, w.strings(length)[a])]] if len(a) else at for w, at, a in zip(blocks, alive, anchors, strict=True)]
 
 
 def _last_keys(blocks, ids, window, alive):
     """All surviving windows: digests, doc_id, start within the text; and the sorted distinct digests with their first place."""
-    h, g, doc, start = [], [], [], []
+    h, g, doc, start = ([np.empty(0, k)] for k in (np.uint64, np.uint64, np.int64, np.int64))
     for w, own, at in zip(blocks, ids, alive, strict=True):
+        if not len(at):
+            continue
         text = np.searchsorted(w.first, at, "right") - 1
-        h.append(w.strings(at, window))
-        g.append(w.second(at, window))
+        h.append(w.strings(window)[at])
+        g.append(w.strings(window, 1)[at])
         doc.append(own[text])
         start.append(at - w.first[text])
     h, g, doc, start = np.concatenate(h), np.concatenate(g), np.concatenate(doc), np.concatenate(start)
@@ -130,63 +129,76 @@ def _load(data: bytes):
 
 def _levels(window: int, base: int) -> list[int]:
     """Lengths below the window's, each twice the one before."""
+    if not 0 < base < window:
+        raise ValueError("base has to be shorter than the window")
     out = [base]
     while out[-1] * 2 < window:
         out.append(out[-1] * 2)
-    if not 0 < base < window:
-        raise ValueError("base has to be shorter than the window")
     return out
 
 
 def _run(docs: DataFrame, window: int, base: int, with_text: bool) -> DataFrame:
     chunks, lengths = Chunks(docs), _levels(window, base)
     buckets, answers = [], []
+    schema = TEXTS if with_text else SCHEMA
 
     for level in range(len(lengths)):
         n = chunks.key_buckets(0.25)
 
-        def ask(batches, level=level, n=n, buckets=tuple(buckets)):
-            for batch in batches:
-                for x in batch.to_pylist():
-                    blocks, _ = _load(x["data"])
-                    keys, several, _ = _level_keys(blocks, window, lengths, [x[f"answers{k}"] for k in range(level)], buckets, level)
-                    yield asked_rows(x["chunk"], keys, [keys, several.astype(np.uint8)], n)
+        def ask(rows, level=level, n=n, buckets=tuple(buckets)):
+            for x in each_row(rows):
+                blocks, _ = _load(x["data"])
+                _, _, keys, several = _level(blocks, window, lengths, [x[f"answers{k}"] for k in range(level)], buckets, level)
+                yield asked_rows(x["chunk"], keys, [keys, several.astype(np.uint8)], n)
 
         asked = chunks.with_answers(*answers).mapInArrow(ask, ASKED)
         answers.append(stored(answer(asked, repeated, (np.uint64, np.uint8)), f"substrings-level{level}"))
         buckets.append(n)
+        if answers[-1].isEmpty():  # no string of this length occurs again
+
+            def untouched(rows):
+                for x in each_row(rows):
+                    for w, own in zip(*_load(x["data"]), strict=True):
+                        yield _kept(w, own, np.empty(0, np.int64), window, with_text)
+
+            return chunks.with_answers().mapInArrow(untouched, schema)
 
     n, lower = chunks.key_buckets(0.5), tuple(buckets)
 
-    def ask_last(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                blocks, ids = _load(x["data"])
-                alive = _survivors(blocks, window, lengths, [x[f"answers{k}"] for k in range(len(lengths))], lower)
-                h, g, doc, start, lead, _ = _last_keys(blocks, ids, window, alive)
-                # In the order of places, where ids and starts have small differences.
-                lead = lead[np.lexsort((start[lead], doc[lead]))]
-                yield asked_rows(x["chunk"], h[lead], [h[lead], g[lead], doc[lead], start[lead]], n)
+    def survivors(x):
+        blocks, ids = _load(x["data"])
+        said, last = [x[f"answers{k}"] for k in range(len(lengths))], len(lengths) - 1
+        alive, anchors, keys, _ = _level(blocks, window, lengths, said, lower, last)
+        alive = _alive(blocks, alive, anchors, keys, told(keys, said[last], lower[last]), lengths[last])
+        for w in blocks:  # only the digests of windows are needed from here on
+            w.made.clear()
+        return blocks, ids, alive
+
+    def ask_last(rows):
+        for x in each_row(rows):
+            blocks, ids, alive = survivors(x)
+            h, g, doc, start, lead, _ = _last_keys(blocks, ids, window, alive)
+            # In the order of places, where ids and starts have small differences.
+            lead = lead[np.lexsort((start[lead], doc[lead]))]
+            yield asked_rows(x["chunk"], h[lead], [h[lead], g[lead], doc[lead], start[lead]], n)
 
     asked = chunks.with_answers(*answers).mapInArrow(ask_last, ASKED)
-    answers.append(stored(answer(asked, _is_first, (np.uint64, np.uint32, np.int64, np.int64)), "substrings-last"))
-
-    def remove(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                blocks, ids = _load(x["data"])
-                alive = _survivors(blocks, window, lengths, [x[f"answers{k}"] for k in range(len(lengths))], lower)
-                h, g, doc, start, lead, group = _last_keys(blocks, ids, window, alive)
-                rank = np.lexsort((start[lead], doc[lead]))
-                said = np.empty(len(lead), bool)
-                said[rank] = told(h[lead[rank]], x[f"answers{len(lengths)}"], n)
-                gone = ~(said[group] & (doc == doc[lead[group]]) & (start == start[lead[group]]))
-                at = 0
-                for w, own, windows in zip(blocks, ids, alive, strict=True):
-                    yield _kept(w, own, windows[gone[at : at + len(windows)]], window, with_text)
-                    at += len(windows)
-
-    return chunks.with_answers(*answers).mapInArrow(remove, TEXTS if with_text else SCHEMA)
+    answers.append(stored(answer(asked, _is_first, (np.uint64, np.uint64, np.int64, np.int64)), "substrings-last"))
+
+    def remove(rows):
+        for x in each_row(rows):
+            blocks, ids, alive = survivors(x)
+            h, g, doc, start, lead, group = _last_keys(blocks, ids, window, alive)
+            rank = np.lexsort((start[lead], doc[lead]))
+            said = np.empty(len(lead), bool)
+            said[rank] = told(h[lead[rank]], x[f"answers{len(lengths)}"], n)
+            gone = ~(said[group] & (doc == doc[lead[group]]) & (start == start[lead[group]]))
+            at = 0
+            for w, own, windows in zip(blocks, ids, alive, strict=True):
+                yield _kept(w, own, windows[gone[at : at + len(windows)]], window, with_text)
+                at += len(windows)
+
+    return chunks.with_answers(*answers).mapInArrow(remove, schema)
 
 
 def _kept(w: Words, ids: np.ndarray, windows: np.ndarray, window: int, with_text: bool) -> pa.RecordBatch:
@@ -216,12 +228,12 @@ def _kept(w: Words, ids: np.ndarray, windows: np.ndarray, window: int, with_text
     return pa.RecordBatch.from_pydict({"doc_id": doc} | counts | {"kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts])})
 
 
-def dedup(docs: DataFrame, window: int = 20, base: int = 10) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 20, base: int = 5) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256.  See the module's text."""
     return _run(docs, window, base, False)
 
 
-def dedup_documents(docs: DataFrame, window: int = 20, base: int = 10) -> DataFrame:
+def dedup_documents(docs: DataFrame, window: int = 20, base: int = 5) -> DataFrame:
     """docs with ``text`` replaced by the kept words joined by one space where words were removed; other columns as they are.
 
     What a row keeps depends on its doc_id and text alone, so rows are found again by both: others with the same doc_id, or
@@ -234,4 +246,4 @@ def dedup_documents(docs: DataFrame, window: int = 20, base: int = 10) -> DataFr
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"), 20, 10)
+    return dedup(table(spark, sf_dir, "documents"), 20, 5)

@@ -280,6 +280,47 @@ def test_substrings(odd):
     assert substrings.dedup(odd.limit(0)).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words of n letters, n a power of two, that are made of the same letters in complementary patterns."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024])
+def test_substrings_of_patterns(spark, n):
+    """Words, and sequences of words, that polynomial digests can't tell apart."""
+    x, y = thue_morse(n)
+    texts = [(d, " ".join([*(f"w{i}" for i in range(10)), z, *(f"w{i}" for i in range(10, 24))])) for d, z in enumerate((x, y))]
+    texts += [(2 + d, " ".join(z.replace("a", "one ").replace("b", "two ").split() + [f"end{d}"])) for d, z in enumerate(thue_morse(n))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for window in (20, 200):
+        assert {r.doc_id: r.n_removed for r in substrings.dedup(df, window, 5).collect()} == brute_words(texts, window)
+
+
+def brute_words(rows, window):
+    """Words removed of each document (doc_ids are distinct)."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        w, gone = words(t), set()
+        for i in range(len(w) - window + 1):
+            x = tuple(w[i : i + window])
+            if x in seen:
+                gone |= set(range(i, i + window))
+            seen.add(x)
+        out[d] = len(gone)
+    return out
+
+
+@pytest.mark.parametrize("base", [1, 3, 5, 10])
+def test_substrings_from_any_base(spark, base):
+    rng = random.Random(base)
+    texts = [(d, " ".join(rng.choice("abc") if rng.random() < 0.9 else f"u{rng.randint(0, 99)}" for _ in range(rng.randint(0, 150)))) for d in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.dedup(df, 12, base).collect()} == brute_words(texts, 12)
+    unique = spark.createDataFrame([(1, " ".join(map(str, range(90)))), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, substrings.dedup(unique, 12, base).select("doc_id", "n_words", "n_removed").collect())) == [(1, 90, 0), (2, 0, 0)]
+
+
 def test_substrings_documents(spark):
     """Different texts under a null and under an equal doc_id: each keeps its own."""
     one, two = ("".join(f"{p}{i} " for i in range(30)).strip() for p in "ab")
