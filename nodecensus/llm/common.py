@@ -68,6 +68,16 @@ def word_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, half: int
     return out
 
 
+def strings_of(words: np.ndarray, length: int, half: int) -> np.ndarray:
+    """Digests of the ``length`` words from each word on, by doubling: two strings of the largest power of two below make one, one
+    from the start and one up to the end."""
+    if length == 1:
+        return words
+    part = 1 << (length - 1).bit_length() - 1
+    x, n = strings_of(words, part, half), max(0, len(words) - length + 1)
+    return chained(x[:n], x[length - part :][:n], ODD[half] + 2 * length)
+
+
 class Rolling:
     """Digests of slices of a sequence of 64-bit values: sum of value * base**position, modulo 2**64, shifted home.
 

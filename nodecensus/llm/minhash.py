@@ -1,6 +1,7 @@
 """Operator 2: near-duplicates by fast similarity sketches, banding and exact verification.
 
-*Sketch.*  A document's set (distinct ``SHINGLE``-word shingles as 64-bit digests) gets ``BINS`` coordinates.  In rounds
+*Sketch.*  A document's set (distinct ``SHINGLE``-word shingles as 64-bit digests, mixed by doubling, so that patterns in words or
+texts don't collide; sets count as equal by 128 bits from two independent digests) gets ``BINS`` coordinates.  In rounds
 0 .. BINS-1 every element is hashed to a bin with a value; in rounds BINS .. 2*BINS-1 every element goes to bin round - BINS, so every
 coordinate is filled at the latest then.  A bin keeps the least (round, value); a document is through once all its bins are filled,
 mostly after a few rounds.  The share of equal coordinates concentrates about the sets' similarity.
@@ -32,36 +33,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodecensus.llm.common import BYTE_VALUES, Rolling, batches_of_texts, join_texts, mix, partitions, stored, table, text_of, utf8, word_bounds
+from nodecensus.llm.common import batches_of_texts, join_texts, mix, partitions, stored, strings_of, table, text_of, utf8, word_bounds, word_digests
 
 SHINGLE, BINS, PARITY, LONG = 5, 128, 512, 1500
 #: From which percentage on: bands, coordinates of a band, and coordinates of a similar pair that are equal at least.
 LAYOUTS = {85: (32, 4, 77), 80: (34, 3, 71)}
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>, odd array<long>"
 SETS = "doc_id long, shingles array<long>"
-_words, _shingles = Rolling(21), Rolling(22)
 _salts = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and digest of the distinct shingles of each text, sorted by text and digest."""
+def shingle_sets(texts: list[bytes], width: int = SHINGLE, halves: int = 1) -> tuple[np.ndarray, ...]:
+    """Text number and digest of the distinct shingles of each text, sorted by text and digest; with two halves also the other half
+    of their digests (of one of the shingles, should 64 bits ever be equal for several)."""
     data, bounds = join_texts(texts)
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     start, end, first = word_bounds(data, bounds)
-    digests = _words.slices(_words.sums(BYTE_VALUES[data]), start, end)
     count = np.diff(first)
-    sums = _shingles.sums(digests)
     own = np.repeat(np.arange(len(count)), count)
     at = np.arange(len(start))
     size = np.minimum(count, width)[own]
     good = at + size <= first[own + 1] if len(at) else np.zeros(0, bool)
     good &= (count[own] >= width) | (at == first[own])
     at, own, size = at[good], own[good], size[good]
-    h = _shingles.slices(sums, at, at + size)
-    order = np.lexsort((h, own))
-    h, own = h[order], own[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])) if len(h) else np.zeros(0, bool)
-    return own[new], h[new]
+    out = []
+    for half in range(halves):
+        digests = word_digests(data, start, end, half)
+        h = np.empty(len(at), np.uint64)
+        for k in np.unique(size).tolist():
+            hit = size == k
+            h[hit] = strings_of(digests, k, half)[at[hit]]
+        out.append(h)
+    order = np.lexsort((out[0], own))
+    own, out = own[order], [h[order] for h in out]
+    new = np.append(True, (out[0][1:] != out[0][:-1]) | (own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+    return own[new], *(h[new] for h in out)
 
 
 def sketches(n: int, own: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -108,12 +114,12 @@ def sketched(docs: DataFrame, bands_: int, rows: int) -> DataFrame:
 
     def run(batches):
         for ids, texts in _each_block(batches):
-            own, h = shingle_sets(texts)
+            own, h, g = shingle_sets(texts, halves=2)
             n = len(texts)
             count = np.bincount(own, minlength=n)
             a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             np.add.at(a, own, mix(h))
-            np.add.at(b, own, mix(h ^ np.uint64(0x5555555555555555)))
+            np.add.at(b, own, mix(g))
             s = sketches(n, own, h)
             keys = np.zeros((n, bands_), np.uint64)
             for k in range(rows):
@@ -172,7 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = stored(sketched(docs, n_bands, of_band), "minhash-sketches")
     full = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "sketch", "bands", "odd")).alias("x")).select("fp1", "fp2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.bands").alias("bands"), F.col("x.odd").alias("odd")), "minhash-classes")
-    dealt = classes.select(F.explode("bands").alias("key"), "rep", "n").repartition(partitions(spark), "key")
+    dealt = classes.select(F.explode("bands").alias("key"), "rep", "n")  # a large bucket counts as one row a task, and its join can be split
     several = dealt.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     buckets = stored(dealt.join(several, "key", "left_semi"), "minhash-buckets")
     members = stored(buckets.join(classes.select("rep", "odd", F.when(F.col("n") > LONG, F.col("sketch")).alias("sketch")), "rep"), "minhash-members")
@@ -194,8 +200,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         slot = F.pmod(F.xxhash64("rep"), F.lit(width))
         leaders = stored(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("o"), "rep", "n", "label", "odd", "sketch")).alias("l")).select("key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), F.col("l.odd").alias("lead_odd"), F.col("l.sketch").alias("lead_sketch")), "minhash-leaders")
         met = live.join(leaders, "key").where((F.col("label") != F.col("lead_label")) & alike)
-        drawn = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), F.col("sketch").alias("sketch_a"), F.col("lead_sketch").alias("sketch_b"))
-        likely = _agreeing(drawn, agree).repartition("a").distinct()  # dealt as the sets are, so that this is the only shuffle before them
+        drawn = met.select(F.col("rep").alias("a"), F.col("lead").alias("b"), F.col("sketch").alias("sketch_a"), F.col("lead_sketch").alias("sketch_b"))
+        # Dealt as the sets are, so that this is the only shuffle before them, and by the member: a leader has as many pairs as its
+        # buckets have members, a member only as many as its buckets have leaders.
+        likely = _agreeing(drawn, agree).repartition("a").distinct()
         of_a = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         of_b = of_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         common = of_b.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("both"))

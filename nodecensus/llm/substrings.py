@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodecensus.llm.chunks import ASKED, NO_ID, Chunks, answer, asked_rows, each_row, repeated, text_blocks, told, window_minima
-from nodecensus.llm.common import ODD, chained, join_texts, stored, table, word_bounds, word_digests
+from nodecensus.llm.common import join_texts, stored, strings_of, table, word_bounds, word_digests
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 TEXTS = "doc_id long, text string, n_words long, n_removed long, digest string"
@@ -45,16 +45,11 @@ class Words:
         self.made: dict[tuple[int, int], np.ndarray] = {}
 
     def strings(self, length: int, half: int = 0) -> np.ndarray:
-        """Digests of the ``length`` words from each word on (those that cross texts mean nothing): two strings of the largest power
-        of two below make one, one from the start and one up to the end."""
+        """Digests of the ``length`` words from each word on; those that cross texts mean nothing."""
+        if (1, half) not in self.made:
+            self.made[1, half] = word_digests(self.data, self.start, self.end, half)
         if (length, half) not in self.made:
-            if length == 1:
-                out = word_digests(self.data, self.start, self.end, half)
-            else:
-                part = 1 << (length - 1).bit_length() - 1
-                x, n = self.strings(part, half), max(0, len(self.start) - length + 1)
-                out = chained(x[:n], x[length - part :][:n], ODD[half] + 2 * length)
-            self.made[length, half] = out
+            self.made[length, half] = strings_of(self.made[1, half], length, half)
         return self.made[length, half]
 
     def windows(self, length: int) -> np.ndarray:
