@@ -6,10 +6,9 @@ of equal length form a bucket whose batches hold no padding, and no sequence cro
 in its upper bits and a running number below; ``offset`` is 0 throughout.
 
 The work is one narrow pass: no shuffle, nothing gathered, so neither hot sources nor groups of copies matter.  Ids are those of
-the ``tokenizers`` library.  Since its byte-level pre-tokeniser cuts before a lone space or line's end between two visible
-characters, texts are cut there and each unit is encoded once per worker and remembered (bounded); texts that hold the
-string of a special token are encoded whole by the library.  Units are encoded from the tokenizer file's own vocabulary read
-as merge ranks (the library needs some 30 microseconds a unit whatever its length); the tests hold the ids against the library.
+the ``tokenizers`` library.  Where its vocabulary is one of merge ranks over bytes, whole texts are encoded by those ranks, which
+takes a third of the time; texts with the string of a special token, or with a very long run of white space (which the ranks'
+pattern can't take), and all other vocabularies, go to the library itself.  The tests hold all ids against the library.
 
 Cases: a null or empty text has the one id 0, hence one piece of length 1; very long texts give more pieces of ``max_tokens``;
 repeated rows are packed each for itself with sequence ids of their own; only ``doc_id`` and ``text`` are read.
@@ -26,18 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nodecensus.llm.common import batches_of_texts, table, text_of
 
 END_ID = 0
-#: Units a worker remembers at most; the memory is emptied when full, which changes no result.
-CACHE_UNITS = 800_000
-UNIT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
+#: Runs of white space that are left to the library.
+LONG_SPACE = re.compile(r"\s{4096}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class UnitTokenizer:
-    """Ids of texts from remembered ids of units: a number for each unit, and the units' ids in one flat array."""
+class RankTokenizer:
+    """Ids of whole texts, by merge ranks where the tokenizer file's vocabulary is made so."""
 
     def __init__(self, path: str) -> None:
         import tokenizers
@@ -45,12 +44,10 @@ class UnitTokenizer:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.ranked = self.by_rank(path)
-        self.line_end = self.ranked and self.ranked.encode_ordinary("\n")[0]
-        self.clear()
 
     @staticmethod
     def by_rank(path: str):
-        """The same vocabulary as a table of ranks, many times faster on short units; None where ids aren't merge ranks."""
+        """The same vocabulary as a table of ranks; None where ids aren't merge ranks."""
         import public_tokenizers
         import tiktoken
 
@@ -66,103 +63,28 @@ class UnitTokenizer:
         if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
             return None
         ranks = {bytes(byte_of[c] for c in x): i for x, i in model["vocab"].items() if x not in {t["content"] for t in said.get("added_tokens", [])}}
-        return tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start = np.zeros(1 << 18, np.int64)
-        self.length = np.zeros(1 << 18, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            flat, sizes = self.encode_units(part)
-            total, n = len(flat), len(self.number)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while n + len(part) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.flat[self.used : self.used + total] = flat
-            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.length[n : n + len(part)] = sizes
-            self.number.update(zip(part, range(n, n + len(part)), strict=True))
-            self.used += total
-
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, and how many each has.  Units without a line's end go together as the lines of one text."""
-        if not self.ranked or any("\n" in u for u in units):
-            one = self.ranked.encode_ordinary if self.ranked else lambda u: self.library.encode(u, add_special_tokens=False).ids
-            coded = list(map(one, units))
-            return np.fromiter((i for x in coded for i in x), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.array(self.ranked.encode_ordinary("\n".join(["", *units, ""])), np.uint32)
-        ends = np.flatnonzero(flat == self.line_end)
-        if len(ends) != len(units) + 1:
-            raise ValueError("a line's end isn't a unit of its own in this vocabulary")
-        return flat[flat != self.line_end], np.diff(ends) - 1
-
-    def units(self, text: str) -> list[str] | None:
-        """Parts that the library encodes independently; None where the text must stay whole."""
-        if any(x in text for x in self.special):
-            return None
-        if not text:
-            return []
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return UNIT.split(text)
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            if not line:
-                continue
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.units(x) for x in texts]
-        seen = {u for units in split if units for u in units}
-        new = [u for u in seen if u not in self.number]
-        if len(self.number) + len(new) > CACHE_UNITS:
-            self.clear()
-            new = list(seen)
-        self.learn([u for u in new if "\n" not in u])
-        self.learn([u for u in new if "\n" in u])
-        out, get = [], self.number.__getitem__
-        for text, units in zip(texts, split, strict=True):
-            if units is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            which = np.fromiter(map(get, units), np.int64, len(units))
-            sizes = self.length[which]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[which] - (ends - sizes), sizes) + np.arange(total)])
-        return out
-
-
-_tokenizers: dict[str, UnitTokenizer] = {}
-
-
-def tokenizer(path: str) -> UnitTokenizer:
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.ranked and not any(x in text for x in self.special) and not LONG_SPACE.search(text):
+            return self.ranked.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+_tokenizers: dict[str, RankTokenizer] = {}
+
+
+def tokenizer(path: str) -> RankTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = UnitTokenizer(path)
+        _tokenizers[path] = RankTokenizer(path)
     return _tokenizers[path]
 
 
-def pieces(n: int, most: int) -> list[tuple[int, int]]:
-    """Start and length of the pieces of a document of n ids."""
-    out = [(k * most, most) for k in range(n // most)]
-    at, rest, bit = n - n % most, n % most, most // 2
-    while rest:
-        if rest & bit:
-            out.append((at, bit))
-            at += bit
-            rest -= bit
-        bit //= 2
-    return out
+def pieces(n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the pieces of a document of n ids, longest first."""
+    bits = [1 << k for k in range(most.bit_length() - 2, -1, -1) if n >> k & 1]
+    length = np.array([most] * (n // most) + bits, np.int64)
+    return np.cumsum(length) - length, length
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -171,24 +93,33 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, with_ids:
         raise ValueError("max_tokens has to be a power of two")
 
     def run(batches):
-        t, base, made = tokenizer(tokenizer_path), TaskContext.get().partitionId() << 33, 0
+        t, made = tokenizer(tokenizer_path), TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids_of = batch.column("doc_id").to_pylist()
+            ids_of = batch.column("doc_id")
             for at, to in batches_of_texts(batch, 1 << 20):
-                rows, own = [], []
-                coded = t.encode([x or "" for x in batch.column("text").slice(at, to - at).to_pylist()])
-                for doc, ids in zip(ids_of[at:to], coded, strict=True):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    raw, n = memoryview(ids.astype("<u4").tobytes()), len(ids)
-                    for start, length in pieces(n, max_tokens):
-                        rows.append((doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, base + made, 0))
-                        made += 1
-                        if with_ids:
-                            own.append(ids[start : start + length].astype(np.int64))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(own, pa.list_(pa.int64()))] if with_ids else [])], [*("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), *(["ids"] if with_ids else [])])
-
-    return text_of(docs).mapInArrow(run, SCHEMA + (", ids array<long>" if with_ids else ""))
+                own, starts, lengths, sums, totals = [], [], [], [], []
+                for text in batch.column("text").slice(at, to - at).to_pylist():
+                    ids = np.append(t.encode(text or ""), np.uint32(END_ID))
+                    raw, (start, length) = memoryview(ids.astype("<u4", copy=False)).cast("B"), pieces(len(ids), max_tokens)
+                    sums += [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+                    starts.append(start)
+                    lengths.append(length)
+                    totals.append(len(ids))
+                    if with_ids:
+                        own.append(ids.astype(np.int64))
+                count = np.array(list(map(len, starts)))
+                length = np.concatenate(lengths)
+                n = len(length)
+                columns = [ids_of.slice(at, to - at).take(pa.array(np.repeat(np.arange(to - at), count))), np.concatenate(starts), length, np.array(sums, np.int64), np.repeat(np.array(totals, np.int64), count), made + np.arange(n), np.zeros(n, np.int64)]
+                made += n
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(np.concatenate(own))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
+
+    rows = text_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(run, SCHEMA + (", ids array<long>" if with_ids else ""))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
