@@ -1,17 +1,22 @@
 """Operator 10: quality rules with adaptive thresholds.
 
 Instead of fixed cutoffs, each measure's limit follows from how that measure is spread among the documents of the same
-language and source.  The spread is held in *mergeable quantile sketches*: histograms with a fixed number of bins (0 to
-``BINS`` thousandths for shares, tenths of a code point for word length), added up by language and source, by language and
-over everything.  Adding counts is associative, so partial sketches merge in any order with one result, whatever the
-partitions; a sketch has at most ``BINS`` + 1 rows whatever the number of documents.  The limit of a measure is
-``q75 + FENCE * max(q75 - q25, least spread)``, read from the narrowest group with at least ``ENOUGH`` documents.
+language and source that pass the base rules.  The spread is held in *mergeable quantile sketches*: histograms with a fixed number
+of bins (0 to ``BINS`` thousandths for shares, tenths of a code point for word length, the last bin also for all above), added up by
+language and source, by language and over everything.  Adding counts is associative, so partial sketches merge in any order with
+one result, whatever the partitions; a sketch has at most ``BINS`` + 1 rows whatever the number of documents.  Quantiles
+read from it have no rank error; their values are exact to one bin.
+
+A group's own limit is ``max(q[level], q75 + FENCE * (q75 - q25))``: the upper quantile at the measure's ``LEVELS`` (for measures that
+are 0 in most documents), or the fence where the measure is spread more widely than that.  No constant of the measures' own scale
+enters.  Limits of small groups are pulled towards those of the wider ones, language and all, with the weight of ``PRIOR``
+documents: ``(n * own + PRIOR * wider) / (n + PRIOR)``, for every group alike.
 
 All work is DataFrame functions.  The per-document measures are written once to the shared folder; sketches and the joined
 filtering both read that table.  The limits table is written too, so that its size is known from its files and Spark
 broadcasts it only if it is below the broadcast threshold.
 
-Cases: a null or text without words has no words, fails the base rules and takes no part in the sketches; null languages
+Cases: a null or text without words has no words and fails the base rules; what fails them takes no part in the sketches; null languages
 and sources form groups of their own (null-safe join); empty input gives an empty result; repeated rows stay; very long texts
 are taken whole (work per document is n log n); other columns are passed through by ``filter_documents`` and can't clash, for
 the measures live in one struct column.
@@ -25,10 +30,10 @@ from pyspark.sql import functions as F
 from nodecensus.llm.common import SPACE, stored, table
 
 BINS = 1000
-FENCE = 4
-ENOUGH = 200
-#: Least spread of each measure: thousandths, but tenths of a code point for word_length.
-SPREADS = {"symbols": 15, "dup_lines": 120, "repeats": 40, "word_length": 10}
+FENCE = 3
+PRIOR = 200
+#: For each measure the percentage of documents that its upper quantile leaves in.
+LEVELS = {"symbols": 95, "dup_lines": 99, "repeats": 99, "word_length": 97}
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -92,34 +97,36 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def limits(rows: DataFrame) -> DataFrame:
     """Per language and source the upper limit of each measure, from merged sketches of rows (lang, source, measures in bins)."""
-    cells = F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("bin"), F.lit(v).alias("least")) for k, v in SPREADS.items()))
-    sketch = rows.select("lang", "source", F.explode(cells).alias("c")).groupBy("lang", "source", "c.measure", "c.bin", "c.least").agg(F.count("*").alias("n"))
+    cells = F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("bin"), F.lit(v).alias("at")) for k, v in LEVELS.items()))
+    sketch = rows.select("lang", "source", F.explode(cells).alias("c")).groupBy("lang", "source", "c.measure", "c.bin", "c.at").agg(F.count("*").alias("n"))
     levels = F.array(F.struct(F.lit(0).alias("level"), F.col("lang").alias("l"), F.col("source").alias("s")), F.struct(F.lit(1).alias("level"), F.col("lang").alias("l"), F.lit(None).cast("string").alias("s")), F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("l"), F.lit(None).cast("string").alias("s")))
-    merged = sketch.select(F.explode(levels).alias("v"), "measure", "bin", "least", "n").groupBy("v.level", "v.l", "v.s", "measure", "least", "bin").agg(F.sum("n").alias("n"))
+    merged = sketch.select(F.explode(levels).alias("v"), "measure", "bin", "at", "n").groupBy("v.level", "v.l", "v.s", "measure", "at", "bin").agg(F.sum("n").alias("n"))
     # A group has at most BINS + 1 rows for each measure, so its quantiles are read from one sorted array.
     quantile = lambda q: F.aggregate(F.col("hist"), F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).alias("at")), lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when((acc["at"] < 0) & ((acc["seen"] + x["n"]) * 100 >= F.col("docs") * q), x["bin"]).otherwise(acc["at"]).alias("at")), lambda acc: acc["at"])
-    read = merged.groupBy("level", "l", "s", "measure", "least").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("hist"), F.sum("n").alias("docs")).select("level", "l", "s", "measure", "least", "docs", quantile(25).alias("q25"), quantile(75).alias("q75"))
-    at = read.withColumn("upper", F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), F.col("least")))
+    read = merged.groupBy("level", "l", "s", "measure", "at").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("hist"), F.sum("n").alias("docs")).select("level", "l", "s", "measure", "docs", quantile(25).alias("q25"), quantile(75).alias("q75"), quantile(F.col("at")).alias("top"))
+    at = read.withColumn("own", F.greatest(F.col("top"), F.col("q75") + FENCE * (F.col("q75") - F.col("q25"))).cast("long"))
     at = stored(at, "quality-sketches")
+    pulled = lambda docs, own, wider: F.floor((F.col(docs) * F.col(own) + PRIOR * F.col(wider)) / (F.col(docs) + PRIOR))
     own, lang, all_ = (at.where(F.col("level") == k) for k in (0, 1, 2))
     best = (
-        own.select(F.col("l").alias("lang"), F.col("s").alias("source"), "measure", "docs", "upper").alias("o")
-        .join(lang.select("l", F.col("measure").alias("m1"), F.col("docs").alias("d1"), F.col("upper").alias("u1")), F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m1")), "left")
-        .join(all_.select(F.col("measure").alias("m2"), F.col("upper").alias("u2")), F.col("measure") == F.col("m2"), "left")
-        .withColumn("limit", F.when(F.col("docs") >= ENOUGH, F.col("upper")).when(F.col("d1") >= ENOUGH, F.col("u1")).otherwise(F.col("u2")))
+        own.select(F.col("l").alias("lang"), F.col("s").alias("source"), "measure", "docs", "own")
+        .join(lang.select("l", F.col("measure").alias("m1"), F.col("docs").alias("d1"), F.col("own").alias("u1")), F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m1")))
+        .join(all_.select(F.col("measure").alias("m2"), F.col("own").alias("u2")), F.col("measure") == F.col("m2"))
+        .withColumn("wider", pulled("d1", "u1", "u2"))
+        .withColumn("limit", pulled("docs", "own", "wider"))
     )
-    return best.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(f"max_{k}") for k in SPREADS))
+    return best.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(f"max_{k}") for k in LEVELS))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
     """Adds the boolean ``_kept`` to a stored table with ``_quality``, lang and source: fit sketches, then filter by a join."""
-    fit = rows.where(F.col("_quality.n_words") > 0).select("lang", "source", *(F.col(f"_quality.{k}").alias(k) for k in SPREADS))
-    edge = stored(limits(fit), "quality-limits").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(f"max_{k}").alias(f"_max_{k}") for k in SPREADS))
+    fit = rows.where(~F.col("_quality.base_failed")).select("lang", "source", *(F.col(f"_quality.{k}").alias(k) for k in LEVELS))
+    edge = stored(limits(fit), "quality-limits").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(f"max_{k}").alias(f"_max_{k}") for k in LEVELS))
     joined = rows.join(edge, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     within = F.lit(True)
-    for k in SPREADS:
+    for k in LEVELS:
         within &= F.coalesce(F.col(f"_quality.{k}") <= F.col(f"_max_{k}"), F.lit(False))
-    return joined.withColumn("_kept", ~F.col("_quality.base_failed") & within).drop("_lang", "_source", *(f"_max_{k}" for k in SPREADS))
+    return joined.withColumn("_kept", ~F.col("_quality.base_failed") & within).drop("_lang", "_source", *(f"_max_{k}" for k in LEVELS))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from nodecensus.llm.html import op5_html
 from nodecensus.llm.minhash import op2_minhash
 from nodecensus.llm.packing import op7_packing
 from nodecensus.llm.pii import op4_pii
-from nodecensus.llm.quality import ENOUGH, FENCE, SPREADS, op10_quality
+from nodecensus.llm.quality import FENCE, LEVELS, PRIOR, op10_quality
 from nodecensus.llm.spm import op6_sentencepiece
 from nodecensus.llm.substrings import op9_substrings
 from nodecensus.llm.suffixes import op1_suffixes
@@ -53,11 +53,11 @@ SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 
 
 def _op10() -> str:
-    cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS bin, {v} AS least FROM m WHERE n_words > 0" for k, v in SPREADS.items())
-    spread = f"b[(n * 75 + 99) // 100] + {FENCE} * greatest(b[(n * 75 + 99) // 100] - b[(n * 25 + 99) // 100], least)"
-    level = lambda keys: f"SELECT {keys} measure, n, {spread} AS upper FROM (SELECT {keys} measure, least, count(*) AS n, list_sort(list(bin)) AS b FROM cells GROUP BY {keys} measure, least)"
-    within = " AND ".join(f"coalesce(m.{k} <= wide.{k}, false)" for k in SPREADS)
-    wide = ", ".join(f"max(u) FILTER (measure = '{k}') AS {k}" for k in SPREADS)
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS bin, {v} AS top FROM m WHERE NOT base_failed" for k, v in LEVELS.items())
+    q = lambda p: f"b[(n * {p} + 99) // 100]"
+    level = lambda keys: f"SELECT {keys} measure, n, greatest({q('top')}, {q(75)} + {FENCE} * ({q(75)} - {q(25)})) AS own FROM (SELECT {keys} measure, top, count(*) AS n, list_sort(list(bin)) AS b FROM cells GROUP BY {keys} measure, top)"
+    within = " AND ".join(f"coalesce(m.{k} <= wide.{k}, false)" for k in LEVELS)
+    wide = ", ".join(f"max(u) FILTER (measure = '{k}') AS {k}" for k in LEVELS)
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS words,
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{SPACES}', '', 'g') <> '') AS lines FROM documents),
@@ -70,8 +70,8 @@ m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
       least(1000, n_repeat_words * 1000 // greatest(n_words, 1)) AS repeats, least(1000, word_chars * 10 // greatest(n_words, 1)) AS word_length FROM base),
 cells AS ({cells}),
 own AS ({level("lang, source,")}), of_lang AS ({level("lang,")}), of_all AS ({level("")}),
-best AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.n >= {ENOUGH} THEN own.upper WHEN of_lang.n >= {ENOUGH} THEN of_lang.upper ELSE of_all.upper END AS u
-         FROM own LEFT JOIN of_lang ON own.lang IS NOT DISTINCT FROM of_lang.lang AND own.measure = of_lang.measure LEFT JOIN of_all ON own.measure = of_all.measure),
+pulled AS (SELECT of_lang.lang, of_lang.measure, (of_lang.n * of_lang.own + {PRIOR} * of_all.own) // (of_lang.n + {PRIOR}) AS own FROM of_lang JOIN of_all ON of_lang.measure = of_all.measure),
+best AS (SELECT own.lang, own.source, own.measure, (own.n * own.own + {PRIOR} * pulled.own) // (own.n + {PRIOR}) AS u FROM own JOIN pulled ON own.lang IS NOT DISTINCT FROM pulled.lang AND own.measure = pulled.measure),
 wide AS (SELECT lang, source, {wide} FROM best GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept FROM m LEFT JOIN wide ON wide.lang IS NOT DISTINCT FROM m.lang AND wide.source IS NOT DISTINCT FROM m.source
 """

@@ -380,6 +380,22 @@ def test_quality(odd):
     assert quality.filter_documents(odd).columns == odd.columns
 
 
+def test_quality_by_source(spark):
+    """Sources whose documents differ in spread get limits of their own, and equal documents are judged by them."""
+    rng = random.Random(3)
+    plain = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6))) for _ in range(60))
+    noisy = lambda k: plain() + " " + " ".join(["#" * 4] * k)
+    rows = [(i, plain(), "en", "a") for i in range(1000)] + [(1000 + i, noisy(rng.randint(0, 9)), "en", "b") for i in range(1000)] + [(2000, noisy(4), "en", "a"), (2001, noisy(4), "en", "b")]
+    rows += [(3000, None, None, None), (3001, "", "en", "a"), (3002, plain(), None, None), (3003, plain(), "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.score(df).collect()}
+    assert (got[2000], got[2001], got[3000], got[3001]) == (False, True, False, False)
+    assert sum(got[i] for i in range(1000)) >= 930 and sum(got[i] for i in range(1000, 2000)) >= 930
+    edges = {r.source: r.max_symbols for r in quality.limits(quality.measured(df).where("not _quality.base_failed").select("lang", "source", *(F.col(f"_quality.{k}").alias(k) for k in quality.LEVELS))).where("lang = 'en'").collect()}
+    assert edges["a"] < edges[None] < edges["b"]
+    assert quality.score(df.limit(0)).count() == 0 and quality.filter_documents(df.limit(0)).count() == 0
+
+
 def test_pipeline(spark, docs):
     """Each stage against what it should keep, then the whole."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "pii", "packing"]
