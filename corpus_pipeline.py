@@ -32,8 +32,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _counted(docs, substrings.dedup_documents(docs, 20, 5))
 
 
+#: Key of the pseudonyms unless the session names one in spark.nodecensus.pii.key.
+EXAMPLE_KEY = "example key, for examples only"
+
+
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(docs, pii.pseudonymise(docs))
+    return _counted(docs, pii.pseudonymise(docs, spark.conf.get("spark.nodecensus.pii.key", EXAMPLE_KEY)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
