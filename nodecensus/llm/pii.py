@@ -5,8 +5,12 @@ calendar date, octets, area numbers) and replaced by a keyed permutation of all
 at their places, a card stays a card with a right check digit, a date stays a date.  Being a permutation that depends only on
 key, kind and value, it maps equal values to equal pseudonyms in all documents, without any table of values, shuffle or state.
 
-Networks have ``ROUNDS`` rounds, the round function is MD5 of key, kind, round and half.  Numbers use alternating halves of n
-digits; dates from 1900 to 2099 use a mixed-radix network over their 73,049 = 17 * 4,297 days.  Long numbers go in blocks.
+Networks have ``ROUNDS`` rounds, the round function is HMAC-SHA-256 of kind, round and half under the key, which has no default.
+Numbers use alternating halves of n digits; dates from 1900 to 2099 use a mixed-radix network over their 73,049 = 17 * 4,297 days.
+Long numbers go in blocks.  Where only a part of a format is valid (area numbers of SSNs; days of dates that can only be read month
+first), the permutation is applied until its value is valid (cycle walking, ``WALK`` times at most, which one value in 10**25 needs),
+so it permutes the valid values.  Mails keep the case of each place, plain and accented letters stay among their own.
+Dates that can be read day first are read so, others month first.
 Separators, signs, country codes and the domains' last parts stay.  What doesn't validate stays as it is.
 
 Cards and IBANs are validated before they take their place: what they may be is looked for at every place and in several lengths
@@ -20,20 +24,22 @@ other columns stay (the replaced column is ``text``; counts go to the struct ``p
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodecensus.llm.common import table
 from nodecensus.llm.quality import let
 
-ROUNDS = 8
+ROUNDS, WALK = 8, 64
 KINDS = ("secret", "email", "iban", "date", "ssn", "ip", "phone", "card")
 #: Kind by kind, in the order in which they are tried at a place.
 PATTERNS = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "date": r"(?<![0-9.-])(?:(?:19|20)[0-9]{2}([-/.])[01][0-9]\1[0-3][0-9]|[0-3][0-9]([-/.])[01][0-9]\2(?:19|20)[0-9]{2})(?![0-9])",
+    "date": r"(?<![0-9.-])(?:(?:19|20)[0-9]{2}([-/.])[01][0-9]\1[0-3][0-9]|[0-3][0-9]([-/.])[0-3][0-9]\2(?:19|20)[0-9]{2})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
@@ -55,9 +61,17 @@ BOUNDS = {"iban": ("(?<![0-9A-Za-z])(?:", ")(?![0-9A-Za-z])"), "card": ("(?<![0-
 
 
 def _noise(key: str, kind: str, tweak: Column, i: Column, half: Column) -> Column:
-    """60 bits from key, kind, tweak, round and half."""
-    said = F.concat_ws("|", F.lit(key), F.lit(kind), tweak.cast("string"), i.cast("string"), half.cast("string"))
-    return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
+    """60 bits of the HMAC-SHA-256 of kind, tweak, round and half."""
+    said = F.encode(F.concat_ws("|", F.lit(kind), tweak.cast("string"), i.cast("string"), half.cast("string")), "UTF-8")
+    own = key.encode()
+    own = (hashlib.sha256(own).digest() if len(own) > 64 else own).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in own)) for pad in (0x36, 0x5C))
+    return F.conv(F.substring(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, said), 256))), 256), 1, 15), 16, 10).cast("long")
+
+
+def walked(value: Column, step, valid) -> Column:
+    """step(value), and step again until it is valid."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(value), lambda x, _: F.when(valid(x), x).otherwise(step(x)))
 
 
 def feistel_digits(digits: Column, key: str, kind: str, tweak: Column | None = None) -> Column:
@@ -126,18 +140,22 @@ def _safe_int(c: Column) -> Column:
 def _date(m: Column, key: str) -> Column:
     first = m.rlike("^[0-9]{4}")
     sep = F.when(first, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
-    iso = F.when(first, F.concat_ws("-", F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+    one, two, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
+    number = lambda y, mo, d: F.datediff(F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+    day_first = F.when(first, number(F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))).otherwise(number(year, two, one))
+    month_first = number(year, one, two)
 
     def step(s: Column, i: Column) -> Column:
         a = (s["a"] + _noise(key, "date", F.lit("a"), i, s["b"]) % 17) % 17
         return let(a, lambda a: F.struct(a.alias("a"), ((s["b"] + _noise(key, "date", F.lit("b"), i, a) % 4297) % 4297).alias("b")))
 
-    mixed = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(F.floor(day / 4297).cast("long").alias("a"), (day % 4297).cast("long").alias("b")), step, lambda s: s["a"] * 4297 + s["b"])
     to = lambda n: F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int"))
+    mixed = lambda day: F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(F.floor(day / 4297).cast("long").alias("a"), (day % 4297).cast("long").alias("b")), step, lambda s: s["a"] * 4297 + s["b"])
     part = lambda n, k: F.date_format(to(n), k)
-    text = let(mixed, lambda n: F.when(first, F.concat(part(n, "yyyy"), sep, part(n, "MM"), sep, part(n, "dd"))).otherwise(F.concat(part(n, "dd"), sep, part(n, "MM"), sep, part(n, "yyyy"))))
-    return F.when(day.isNotNull(), text)
+    text = let(mixed(day_first), lambda n: F.when(first, F.concat(part(n, "yyyy"), sep, part(n, "MM"), sep, part(n, "dd"))).otherwise(F.concat(part(n, "dd"), sep, part(n, "MM"), sep, part(n, "yyyy"))))
+    # A date that is read month first has a day over 12, and so has its pseudonym.
+    other = let(walked(month_first.cast("long"), mixed, lambda n: F.dayofmonth(to(n)) > 12), lambda n: F.concat(part(n, "MM"), sep, part(n, "dd"), sep, part(n, "yyyy")))
+    return F.when(day_first.isNotNull(), text).when(~first & month_first.isNotNull(), other)
 
 
 def luhn_valid(m: Column) -> Column:
@@ -181,9 +199,9 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    valid = ~m.rlike("^(000|666|9[0-9][0-9])-|-00-|-0000$")
-    new = let(feistel_digits(F.regexp_replace(m, "-", ""), key, "ssn"), lambda d: spread(m, d, "[0-9]"))
-    return F.when(valid, new)
+    valid = lambda d: ~d.rlike("^(000|666|9[0-9][0-9])|^[0-9]{3}00|0000$")
+    digits = F.regexp_replace(m, "-", "")
+    return F.when(valid(digits), let(walked(digits, lambda d: feistel_digits(d, key, "ssn"), valid), lambda d: spread(m, d, "[0-9]")))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -217,18 +235,26 @@ def _radix(m: Column, key: str, kind: str, alphabet: str) -> Column:
     return let(chars, pairs)
 
 
-LOWER = "abcdefghijklmnopqrstuvwxyz"
+LOWER, ACCENTED = "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøœùúûüý"
 
 
 def _email(m: Column, key: str) -> Column:
-    """Letters and digits of the local part are permuted each as a string; case becomes lower; marks and the domain stay."""
+    """Plain letters, accented letters and digits of the local part are permuted each as a string, the case of each place, marks,
+    other letters and the domain stay."""
 
     def done(local: Column) -> Column:
-        plain = F.translate(F.lower(local), "àáâãäåæçèéêëìíîïñòóôõöøœßùúûüýÿ", "aaaaaaaceeeeiiiinoooooosuuuuyy")
-        letters, digits = F.regexp_replace(plain, "[^a-z]", ""), F.regexp_replace(plain, "[^0-9]", "")
-        with_letters = let(F.when(F.length(letters) > 0, _radix(letters, key, "email", LOWER)).otherwise(F.lit("")), lambda x: spread(plain, x, "[a-z]"))
-        with_digits = lambda s: let(feistel_long(digits, key, "email"), lambda d: spread(s, d, "[0-9]"))
-        return let(with_letters, with_digits)
+        low = F.lower(local)
+
+        def moved(s: Column, alphabet: str) -> Column:
+            own = F.regexp_replace(s, f"[^{alphabet}]", "")
+            return let(F.when(F.length(own) > 0, _radix(own, key, "email", alphabet)).otherwise(F.lit("")), lambda x: spread(s, x, f"[{alphabet}]"))
+
+        def cased(new: Column) -> Column:
+            at = F.transform(F.filter(F.split(local, ""), lambda c: c != ""), lambda c, i: let(F.substr(new, i + 1, F.lit(1)), lambda n: F.when(c != F.lower(c), F.upper(n)).otherwise(n)))
+            return F.array_join(at, "")
+
+        with_digits = lambda s: let(feistel_long(F.regexp_replace(s, "[^0-9]", ""), key, "email"), lambda d: spread(s, d, "[0-9]"))
+        return let(let(let(let(low, lambda s: moved(s, LOWER)), lambda s: moved(s, ACCENTED)), with_digits), cased)
 
     return F.concat(let(F.regexp_extract(m, "^[^@]*", 0), done), F.regexp_extract(m, "@.*$", 0))
 
@@ -269,7 +295,7 @@ def finder(text: Column) -> Column:
     return F.concat_ws("|", *(_valid(text, k) if k in FORMS else F.lit(f"(?:{x})") for k, x in PATTERNS.items()))
 
 
-def pseudonymise(docs: DataFrame, key: str = "public-example-key") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal values in ``text`` replaced, and ``pii``: a struct of how many of each kind."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -287,5 +313,5 @@ def pseudonymise(docs: DataFrame, key: str = "public-example-key") -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.nodecensus.pii.key", "example key, for examples only"))
     return out.select("doc_id", "text", *(F.col(f"pii.{k}").alias(f"n_{k}") for k in KINDS))

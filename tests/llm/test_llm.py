@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import hmac
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import date, timedelta
 
 import duckdb
 import numpy as np
@@ -167,11 +169,109 @@ def test_topk(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def plain_noise(key, *said):
+    return int(hmac.new(key.encode(), "|".join(map(str, said)).encode(), "sha256").hexdigest()[:15], 16)
+
+
+def plain_date(day, key):
+    a, b = divmod(day, 4297)
+    for i in range(pii.ROUNDS):
+        a = (a + plain_noise(key, "date", "a", i, b) % 17) % 17
+        b = (b + plain_noise(key, "date", "b", i, a) % 4297) % 4297
+    return a * 4297 + b
+
+
+def plain_ip(ip, key):
+    p = list(map(int, ip.split(".")))
+    a, b = p[0] * 256 + p[1], p[2] * 256 + p[3]
+    for i in range(pii.ROUNDS):
+        a, b = b, (a + plain_noise(key, "ip", "", i, b) % 65536) % 65536
+    return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+
+
+def plain_radix(s, key, kind, alphabet):
+    half = -(-len(s) // 2)
+    a, b = list(s[:half]), list(s[half:])
+    for i in range(pii.ROUNDS):
+        v = 0
+        for c in b:
+            v = (v * 31 + alphabet.index(c) + 1) % 2147483647
+        a, b = b, [alphabet[(alphabet.index(c) + plain_noise(key, kind, k, i, f"{v},{''.join(b)}")) % len(alphabet)] for k, c in enumerate(a)]
+    return "".join(a + b)
+
+
+def plain_spread(shape, symbols, chars):
+    it = iter(symbols)
+    return "".join(next(it) if c in chars else c for c in shape)
+
+
+def plain_mail(mail, key):
+    local, domain = mail.split("@")
+    new = local.lower()
+    for alphabet in (pii.LOWER, pii.ACCENTED):
+        own = "".join(c for c in new if c in alphabet)
+        new = plain_spread(new, plain_radix(own, key, "email", alphabet) if own else "", alphabet)
+    digits = "".join(c for c in new if c.isdigit())
+    assert len(digits) <= 1
+    moved = "".join(str((int(d) + plain_noise(key, "email", "0", 0, 0) % 10) % 10) for d in digits)
+    new = plain_spread(new, moved, "0123456789")
+    return "".join(n.upper() if c != c.lower() else n for c, n in zip(local, new, strict=True)) + "@" + domain
+
+
+def test_pii_against_plain_networks(spark):
+    """Dates (three formats), SSNs, IPs, mails, secrets, phones and IBANs against networks written in plain Python."""
+    rng, day0 = random.Random(6), date(1900, 1, 1)
+    texts, want = [], []
+
+    def add(text, to):
+        texts.append(text)
+        want.append(to)
+
+    def walk(x, step, valid):
+        x = step(x)
+        while not valid(x):
+            x = step(x)
+        return x
+
+    for _ in range(60):
+        n = rng.randrange(73049)
+        d, to = day0 + timedelta(n), day0 + timedelta(plain_date(n, "k"))
+        add(d.isoformat(), to.isoformat())
+        add(f"{d:%d.%m.%Y}", f"{to:%d.%m.%Y}")
+        if d.day > 12:
+            m = day0 + timedelta(walk(n, lambda x: plain_date(x, "k"), lambda x: (day0 + timedelta(x)).day > 12))
+            add(f"{d:%m/%d/%Y}", f"{m:%m/%d/%Y}")
+        ok = lambda s: not re.search("^(000|666|9..)|^...00|0000$", s)
+        s = walk("", lambda _: f"{rng.randrange(10**9):09}", ok)
+        t = walk(s, lambda x: plain_feistel(x, "k", "ssn"), ok)
+        add(f"{s[:3]}-{s[3:5]}-{s[5:]}", f"{t[:3]}-{t[3:5]}-{t[5:]}")
+        ip = ".".join(str(rng.randrange(256)) for _ in range(4))
+        add(ip, plain_ip(ip, "k"))
+        mail = "".join(rng.choice("abcXYZéÀ._") for _ in range(rng.randint(1, 9))).strip("._") or "q"
+        add(f"{mail}{rng.choice(['', '7'])}@host.example", None)
+        want[-1] = plain_mail(texts[-1], "k")
+        token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        add(token, plain_radix(token, "k", "secret", "0123456789abcdef"))
+        phone = f"{rng.randrange(200, 999)}5551234"
+        p = plain_feistel(phone, "k", "phone")
+        add(f"({phone[:3]}) {phone[3:6]}-{phone[6:]}", f"({p[:3]}) {p[3:6]}-{p[6:]}")
+        bban = f"{rng.randrange(10**16):016}{rng.randrange(100):02}"
+        add(f"DE{98 - int(bban + '131400') % 97:02}{bban}", None)
+    rows = pii.pseudonymise(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string"), "k").collect()
+    got = {r.doc_id: r.text for r in rows}
+    for k, (text, to) in enumerate(zip(texts, want, strict=True)):
+        if to is None:
+            assert got[k][:2] == "DE" and int(got[k][4:] + "1314" + got[k][2:4]) % 97 == 1 and len(got[k]) == len(text)
+        else:
+            assert got[k] == to, text
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id int, text string, pii string"), "k").count() == 0
+
+
 def plain_feistel(digits, key, kind):
     n, u = len(digits), len(digits) // 2
     a, b, p, q = int(digits[:u]), int(digits[u:]), 10**u, 10 ** (n - u)
     for i in range(pii.ROUNDS):
-        noise = int(hashlib.md5(f"{key}|{kind}|{n}.|{i}|{b}".encode()).hexdigest()[:15], 16)
+        noise = plain_noise(key, kind, f"{n}.", i, b)
         a, b, p, q = b, (a + noise % p) % p, q, p
     return str(a).zfill(u) + str(b).zfill(n - u)
 
