@@ -350,6 +350,80 @@ def test_html_anchors_in_articles(spark):
     assert html.extract(df).first().text == "One two three four five six"
 
 
+def test_html_names_are_hints(spark):
+    """Names that only hold a word of noise don't drop the story; headlines in an article's header and buttons in sentences stay."""
+    pages = {
+        1: '<div class="layout has-sidebar"><p>The story of this page is long enough.</p></div><div class="left-sidebar">Links</div>',
+        2: '<main><div class="comment-free search-result">Found this.</div><div class="comments">Reader</div></main>',
+        3: "<header>Site</header><article><header><h1>Head</h1></header><p>Press <button>OK</button> now.</p><div><button>Share</button></div></article>",
+        4: '<form id="aspnetForm"><p>lost, as forms are</p></form><div class="search-algorithms"><h1>A</h1></div><p>' + "b " * 99 + "</p>",
+    }
+    df = spark.createDataFrame([(k, f"http://h{k}/", h) for k, h in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert [got[1], got[2], got[3]] == ["The story of this page is long enough.", "Found this.", "Head Press OK now."]
+    assert got[4] == "A " + ("b " * 99).strip()
+
+
+def brute_tree(pages):
+    """Composite importance by (path) of one host's pages, each a nested (mark, [child or text]) element."""
+    from math import log
+
+    nodes, contents = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+
+    def visit(page, path, element):
+        mark, below = element
+        path = f"{path}/{mark}"
+        nodes[path][tuple("" if isinstance(x, str) else x[0] for x in below)].add(page)
+        for x in below:
+            if isinstance(x, str):
+                contents[path][x].add(page)
+            else:
+                visit(page, path, x)
+
+    for k, root in enumerate(pages):
+        visit(k, "", root)
+
+    def importance(path):
+        styles = nodes[path]
+        m = len(set().union(*styles.values()))
+        content = 1 - sum(min(1, log(len(x)) / log(m + html.PRIOR)) for x in contents[path].values()) / len(contents[path]) if path in contents else 0
+        if not any(x for s in styles for x in s):
+            return content
+        total = sum(map(len, styles.values()))
+        shown = 1 if m == 1 else min(1, -sum(len(x) / total * log(len(x) / total) for x in styles.values()) / log(m + html.PRIOR))
+        below = sum(len(p) / total * sum(content if c == "" else importance(f"{path}/{c}") for c in set(s)) / len(set(s)) for s, p in styles.items() if s)
+        return (1 - html.GAMMA ** len(styles)) * shown + html.GAMMA ** len(styles) * below
+
+    return {p: importance(p) for p in nodes}
+
+
+def test_html_tree(spark):
+    """Composite importance against a tree written out, over random pages of one host (and a copy, which counts for nothing)."""
+    import xxhash
+
+    rng = random.Random(9)
+
+    def element(depth):
+        mark = rng.choice(["div", "div.a", "p", "section"]) if depth < 3 else "p"
+        if mark == "p" or depth == 4:
+            return ("p", [rng.choice(["same", "also", f"own {rng.random()}"])])
+        below = [element(depth + 1) for _ in range(rng.randint(1, 3))]
+        return (mark, [f"text {rng.randint(0, 2)}", *below] if rng.random() < 0.3 else below)
+
+    def markup(x):
+        if isinstance(x, str):
+            return x
+        tag, _, cls = x[0].partition(".")
+        return f"<{tag}{f' class={cls}' if cls else ''}>{''.join(map(markup, x[1]))}</{tag}>"
+
+    pages = [("html", [("body", [element(1) for _ in range(rng.randint(1, 4))])]) for _ in range(12)]
+    df = spark.createDataFrame([(k, "http://a/x", markup(x)) for k, x in enumerate([*pages, pages[0]])], "page_id long, url string, html string")
+    got = {r.path: r.importance for r in html.style_tree(html.parse(df).cache()).collect()}
+    want = {xxhash.xxh3_64_intdigest(p) - (1 << 63): v for p, v in brute_tree(pages).items()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_html_articles(spark):
     pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
     from html import unescape
