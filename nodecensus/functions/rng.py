@@ -1,4 +1,4 @@
-"""A random generator that is the same in Spark, in SQL and in Python: the first 32 bits of MD5 of key and counter."""
+"""A random generator that is the same in Spark, in SQL and in Python: the first 60 bits of MD5 of key and counter."""
 
 from __future__ import annotations
 
@@ -8,14 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+BITS = 60
+
+
 def draw(key: Column, at: Column) -> Column:
-    """A number from 0 to 2**32 - 1 for (key, at)."""
-    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("|"), at.cast("string"))), 1, 8), 16, 10).cast("long")
+    """A number from 0 to 2**60 - 1 for (key, at)."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("|"), at.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def draw_python(key: str, at: object) -> int:
-    return int(hashlib.md5(f"{key}|{at}".encode(), usedforsecurity=False).hexdigest()[:8], 16)
+    return int(hashlib.md5(f"{key}|{at}".encode(), usedforsecurity=False).hexdigest()[:15], 16)
 
 
 def draw_sql(key: str, at: str) -> str:
-    return f"CAST('0x' || substr(md5({key} || '|' || {at}), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5({key} || '|' || {at}), 1, 15) AS BIGINT)"

@@ -1,61 +1,107 @@
-"""Traces: independent draws as declarative plans, and walks by a kernel over a broadcast adjacency.
+"""Traces: independent draws as declarative plans, and walks by a kernel over arcs in shared files.
 
 Prices in hundredths of a query: DRAW for a draw, FETCH for a node's neighbours the first time, CACHED after that.
 """
 
 from __future__ import annotations
 
+import bisect
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodecensus.functions.rng import draw, draw_python
-from nodecensus.sources.scratch import dense_ids, stored
+from nodecensus.functions.rng import BITS, draw, draw_python
+from nodecensus.sources.scratch import dense_ids, new_path, stored
 
 DRAW, FETCH, CACHED = 100, 100, 2
 DEAD_ENDS = ("restart", "backtrack", "history")
-#: Arcs up to which the adjacency is broadcast to walks (16 bytes an arc at most).
-MOST_ARCS = 100_000_000
+#: Arcs of a file that walks read from (16 bytes each).
+FILE_ARCS = 1_000_000
 #: Starts in a row without a path after which a run of short walks gives up.
 RESTARTS = 1000
+#: Draws of a run whose fresh fetches are counted together.
+BLOCK = 1 << 16
+#: What a run pays for, one row a charge; idx, degree, step and walk only where the charge makes a sample.
+LOG = "run int, seq long, kind string, node long, cost long, cum_cost long, idx long, degree int, step long, walk int"
 TRACE = "run int, idx long, node long, degree int, step long, walk int, cum_cost long"
 CHARGES = "run int, seq long, kind string, node long, cost long, cum_cost long"
 
 
 def attempts(spark, runs: int, cap: int, least_price: int, key: str) -> DataFrame:
-    """run, i, key for as many draws as a budget can pay for."""
+    """run, i, key for as many draws as a budget can pay for; a run's draws are dealt over many tasks."""
     most = -(-cap // least_price) + 1
-    return spark.range(runs).select(F.col("id").cast("int").alias("run")).select("run", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("i")).withColumn("key", F.concat(F.lit(f"{key}|"), F.col("run").cast("string")))
+    return spark.range(runs * most).select(F.floor(F.col("id") / most).cast("int").alias("run"), (F.col("id") % most).alias("i")).withColumn("key", F.concat(F.lit(f"{key}|"), F.col("run").cast("string")))
 
 
 def _priced(drawn: DataFrame, cap: int) -> DataFrame:
-    """Adds the running cost of draw and degree fetch, and keeps what the budget pays for."""
-    again = Window.partitionBy("run", "node").orderBy("i")
-    so_far = Window.partitionBy("run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    cost = F.when(F.row_number().over(again) == 1, DRAW + FETCH).otherwise(DRAW + CACHED)
-    return drawn.withColumn("cost", cost.cast("long")).withColumn("cum_cost", F.sum("cost").over(so_far)).where(F.col("cum_cost") <= cap)
-
+    """Adds the running cost of draw and degree fetch up to each draw, and keeps the draws that the budget pays for.
 
-def uniform(n: DataFrame, a: DataFrame, runs: int, cap: int, seed: int = 42, group: str = "uniform") -> DataFrame:
-    """Uniform draws with replacement; a sample costs its draw and the fetch of its degree."""
+    A node's first draw in a run is a fresh fetch.  Fresh ones are counted by blocks of draws and then within their block, so
+    neither a run nor a node that is drawn again and again gathers in one task.
+    """
+    first = drawn.groupBy("run", "node").agg(F.min("i").alias("_i")).select(F.col("run").alias("_run"), "_i")
+    marked = drawn.join(first, (F.col("run") == F.col("_run")) & (F.col("i") == F.col("_i")), "left").withColumn("fresh", F.col("_i").isNotNull().cast("long")).drop("_run", "_i").withColumn("block", F.floor(F.col("i") / BLOCK))
+    sums = marked.groupBy("run", "block").agg(F.sum("fresh").alias("n"))
+    blocks = sums.select(F.col("run").alias("_run"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum("fresh").over(Window.partitionBy("run", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    out = marked.withColumn("_within", within).join(blocks, (F.col("run") == F.col("_run")) & (F.col("block") == F.col("_block")))
+    cum = (F.col("i") + 1) * (DRAW + CACHED) + (F.col("_before") + F.col("_within")) * (FETCH - CACHED)
+    out = out.withColumn("cost", F.when(F.col("fresh") == 1, DRAW + FETCH).otherwise(DRAW + CACHED).cast("long")).withColumn("cum_cost", cum.cast("long"))
+    return out.where(F.col("cum_cost") - F.col("cost") + DRAW <= cap).drop("fresh", "block", "_within", "_run", "_block", "_before")
+
+
+def _sampled(priced: DataFrame, deg: DataFrame, cap: int) -> DataFrame:
+    """LOG of priced draws: each is a draw and, if the budget goes that far, the fetch that makes it a sample."""
+    fetch = F.col("cost") - DRAW
+    events = F.array(
+        F.struct(F.lit("draw").alias("kind"), F.lit(DRAW).cast("long").alias("cost"), (F.col("cum_cost") - fetch).alias("cum_cost"), F.lit(0).alias("part")),
+        F.struct(F.when(fetch == FETCH, "fetch").otherwise("cached").alias("kind"), fetch.alias("cost"), F.col("cum_cost").alias("cum_cost"), F.lit(1).alias("part")),
+    )
+    rows = priced.join(deg, "node", "left").withColumn("e", F.explode(events)).where(F.col("e.cum_cost") <= cap)
+    sample = lambda c: F.when(F.col("e.part") == 1, c)
+    i = F.col("i").cast("long")
+    return rows.select("run", (2 * i + F.col("e.part")).alias("seq"), "e.kind", "node", "e.cost", "e.cum_cost", sample(i).alias("idx"), sample(F.coalesce("degree", F.lit(0)).cast("int")).alias("degree"), sample(i).alias("step"), sample(F.lit(0)).alias("walk"))
+
+
+def trace_of(log: DataFrame) -> DataFrame:
+    """TRACE: the samples of a log."""
+    return log.where(F.col("idx").isNotNull()).select("run", "idx", "node", "degree", "step", "walk", "cum_cost")
+
+
+def charges_of(log: DataFrame) -> DataFrame:
+    """CHARGES of a log: all that was paid for, samples or not."""
+    return log.select("run", "seq", "kind", "node", "cost", "cum_cost")
+
+
+def uniform_log(n: DataFrame, a: DataFrame, runs: int, cap: int, seed: int = 42, group: str = "uniform") -> DataFrame:
+    """LOG of uniform draws with replacement; a sample costs its draw and the fetch of its degree."""
     size = n.agg(F.count("*").alias("size"))
     tries = attempts(n.sparkSession, runs, cap, DRAW + CACHED, f"{seed}|{group}")
-    drawn = tries.join(F.broadcast(size)).withColumn("node", draw(F.col("key"), F.col("i")) % F.col("size"))
+    drawn = tries.join(F.broadcast(size)).where(F.col("size") > 0).withColumn("node", draw(F.col("key"), F.col("i")) % F.col("size"))
     deg = a.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    priced = _priced(drawn, cap).join(deg, "node", "left")
-    return priced.select("run", F.col("i").cast("long").alias("idx"), "node", F.coalesce("degree", F.lit(0)).cast("int").alias("degree"), F.col("i").cast("long").alias("step"), F.lit(0).alias("walk"), "cum_cost")
+    return _sampled(_priced(drawn, cap), deg, cap)
 
 
-def by_degree(a: DataFrame, runs: int, cap: int, seed: int = 42, group: str = "by_degree") -> DataFrame:
-    """Draws in proportion to degree: the source of a uniformly drawn arc."""
+def by_degree_log(a: DataFrame, runs: int, cap: int, seed: int = 42, group: str = "by_degree") -> DataFrame:
+    """LOG of draws in proportion to degree: the source of a uniformly drawn arc."""
     numbered = dense_ids(a.select("src", "dst"), ["src", "dst"], "arc")
     size = a.agg(F.count("*").alias("size"))
     tries = attempts(a.sparkSession, runs, cap, DRAW + CACHED, f"{seed}|{group}")
     drawn = tries.join(F.broadcast(size)).where(F.col("size") > 0).withColumn("arc", draw(F.col("key"), F.col("i")) % F.col("size"))
-    got = drawn.join(numbered.select("arc", F.col("src").alias("node")), "arc")
+    got = stored(drawn.join(numbered.select("arc", F.col("src").alias("node")), "arc").select("run", "i", "key", "node"), "drawn")
     deg = a.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    return _priced(got, cap).join(deg, "node").select("run", F.col("i").cast("long").alias("idx"), "node", F.col("degree").cast("int").alias("degree"), F.col("i").cast("long").alias("step"), F.lit(0).alias("walk"), "cum_cost")
+    return _sampled(_priced(got, cap), deg, cap)
+
+
+def uniform(n: DataFrame, a: DataFrame, runs: int, cap: int, seed: int = 42, group: str = "uniform") -> DataFrame:
+    return trace_of(uniform_log(n, a, runs, cap, seed, group))
+
+
+def by_degree(a: DataFrame, runs: int, cap: int, seed: int = 42, group: str = "by_degree") -> DataFrame:
+    return trace_of(by_degree_log(a, runs, cap, seed, group))
 
 
 def _depths(a: DataFrame, steps: int) -> DataFrame:
@@ -114,23 +160,118 @@ def short_walks(n: DataFrame, a: DataFrame, runs: int, cap: int, steps: int = 5,
     return ends.join(deg, "node", "left").select("run", "idx", "node", F.coalesce("degree", F.lit(0)).cast("int").alias("degree"), F.col("idx").alias("step"), F.lit(0).alias("walk"), ((F.col("idx") + 1) * DRAW).alias("cum_cost"))
 
 
-class Csr:
-    """Adjacency as two arrays; neighbours ascend."""
+class StoredArcs:
+    """Neighbours of nodes, read from files of sorted arcs in the shared folder; a worker holds a bounded number of files.
 
-    def __init__(self, size: int, src: np.ndarray, dst: np.ndarray) -> None:
-        order = np.lexsort((dst, src))
-        self.start = np.searchsorted(src[order], np.arange(size + 1))
-        self.to = dst[order]
+    ``files`` are (path, first source, last source) in order; a node with very many arcs may lie in several of them.
+    """
 
-    def __getitem__(self, u: int) -> np.ndarray:
-        return self.to[self.start[u] : self.start[u + 1]]
+    def __init__(self, files: list[tuple[str, int, int]], held: int = 32) -> None:
+        self.files, self.held = files, held
+        self.last = [x[2] for x in files]
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sources and targets of a file, both sorted by source, then target."""
+        if k in self.open:
+            self.open[k] = self.open.pop(k)  # the least recently used comes first
+        else:
+            while len(self.open) >= self.held:
+                del self.open[next(iter(self.open))]
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(self.files[k][0])
+            with system.open_input_stream(path, compression=None) as f:
+                both = np.frombuffer(f.read(), np.int64)
+            self.open[k] = both[: len(both) // 2], both[len(both) // 2 :]
+        return self.open[k]
+
+    def __getitem__(self, u: int) -> Near:
+        spans, k = [], bisect.bisect_left(self.last, u)
+        while k < len(self.files) and self.files[k][1] <= u:
+            src, _ = self._part(k)
+            a, b = (int(np.searchsorted(src, u, side)) for side in ("left", "right"))
+            if b > a:
+                spans.append((k, a, b))
+            k += 1
+        return Near(self, spans)
+
+
+class Near:
+    """The neighbours of a node in ascending order, without holding them."""
+
+    def __init__(self, arcs: StoredArcs, spans: list[tuple[int, int, int]]) -> None:
+        self.arcs, self.spans, self.size = arcs, spans, sum(b - a for _, a, b in spans)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int) -> int:
+        for k, a, b in self.spans:
+            if i < b - a:
+                return int(self.arcs._part(k)[1][a + i])
+            i -= b - a
+        raise IndexError(i)
+
+
+def nth_other(near, i: int, but: int) -> int:
+    """The i-th of sorted neighbours that aren't ``but``."""
+    at = bisect.bisect_left(near, but)
+    return int(near[i + (at < len(near) and near[at] == but and i >= at)])
+
+
+def others(near, but: int) -> int:
+    """How many of sorted neighbours aren't ``but``."""
+    at = bisect.bisect_left(near, but)
+    return len(near) - (at < len(near) and near[at] == but)
+
+
+def store_arcs(a: DataFrame, file_arcs: int = FILE_ARCS) -> StoredArcs:
+    """Writes arcs, sorted over the cluster, as files that walks read from; what the driver gets is one row a file."""
+    folder = new_path(a.sparkSession, "arcs")
+    if "://" not in folder and not folder.startswith("file:"):
+        folder = f"file://{os.path.abspath(folder)}"
+
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task, src, dst = TaskContext.get(), [], []
+
+        def flush(k: int) -> pd.DataFrame:
+            system, base = fs.FileSystem.from_uri(folder)
+            system.create_dir(base, recursive=True)
+            name = f"part-{task.partitionId():06d}-{k:06d}-{task.taskAttemptId()}"
+            s, d = np.concatenate(src), np.concatenate(dst)
+            with system.open_output_stream(f"{base}/{name}", compression=None) as f:
+                f.write(s.tobytes())
+                f.write(d.tobytes())
+            src.clear()
+            dst.clear()
+            return pd.DataFrame([(f"{folder}/{name}", int(s[0]), int(s[-1]), task.partitionId(), k)], columns=["path", "first", "last", "part", "k"])
+
+        made = 0
+        for pdf in batches:
+            for at in range(0, len(pdf), file_arcs):
+                src.append(pdf["src"].to_numpy(np.int64)[at : at + file_arcs])
+                dst.append(pdf["dst"].to_numpy(np.int64)[at : at + file_arcs])
+                if sum(map(len, src)) >= file_arcs:
+                    yield flush(made)
+                    made += 1
+        if sum(map(len, src)):
+            yield flush(made)
 
+    rows = stored(a.select("src", "dst").orderBy("src", "dst").mapInPandas(write, "path string, first long, last long, part int, k int"), "arc-files")
+    return StoredArcs([(r["path"], r["first"], r["last"]) for r in rows.orderBy("part", "k").collect()])
 
-def walk(graph, seeds: list[int], key: str, cap: int, dead_end: str = "restart", n_walks: int = 1, n_seeds: int = 1, restart_prob: float = 0.0, burn_in: int = 0) -> tuple[list[tuple], list[tuple]]:
+
+def walk(graph, seeds: list[int], key: str, cap: int, dead_end: str = "restart", n_walks: int = 1, n_seeds: int = 1, restart_prob: float = 0.0, burn_in: int = 0, size: int = 0, allow_self_loops: bool = False) -> tuple[list[tuple], list[tuple]]:
     """Samples (idx, node, degree, step, walk, cum_cost) and charges (seq, kind, node, cost, cum_cost) of budgeted random walks.
 
     Draws are indexed by the step t over all walks: ``key|t`` for the neighbour, with suffixes for restarts, backtracking and
-    history.  A charge that doesn't fit the budget ends everything.
+    history.  A charge that doesn't fit the budget ends everything.  Without seeds, walks start at uniform draws from ``size`` nodes.
+    A step that hits the node itself is drawn again among the others, unless ``allow_self_loops`` (views have no loops, so this
+    matters for graphs of one's own).
     """
     if dead_end not in DEAD_ENDS:
         raise ValueError(f"no dead-end strategy {dead_end!r}")
@@ -144,7 +285,7 @@ def walk(graph, seeds: list[int], key: str, cap: int, dead_end: str = "restart",
         if cum + cost > cap:
             return False
         cum += cost
-        charges.append((len(charges), kind, node, cost, cum))
+        charges.append((len(charges), kind, int(node), cost, cum))
         return True
 
     def fetch(u: int) -> bool:
@@ -157,7 +298,10 @@ def walk(graph, seeds: list[int], key: str, cap: int, dead_end: str = "restart",
     for w in range(n_walks):
         start = None
         for k in range(n_seeds):
-            s = seeds[draw_python(key, f"seed.{w}.{k}") % len(seeds)]
+            number = draw_python(key, f"seed.{w}.{k}")
+            if not seeds and not size:
+                return samples, charges
+            s = seeds[number % len(seeds)] if seeds else number % size
             if not charge("draw", s, DRAW):
                 return samples, charges
             start = s if start is None else start
@@ -172,7 +316,9 @@ def walk(graph, seeds: list[int], key: str, cap: int, dead_end: str = "restart",
             step += 1
             if len(near):
                 nxt = int(near[draw_python(key, t) % len(near)])
-                if restart_prob and draw_python(key, f"{t}.r") < restart_prob * 2**32:
+                if nxt == u and not allow_self_loops and (rest := others(near, u)):
+                    nxt = nth_other(near, draw_python(key, f"{t}.l") % rest, u)
+                if restart_prob and draw_python(key, f"{t}.r") < restart_prob * 2**BITS:
                     path.clear()
                     nxt = start
             elif dead_end == "restart":
@@ -186,10 +332,9 @@ def walk(graph, seeds: list[int], key: str, cap: int, dead_end: str = "restart",
                     before = path[-1]
                     if not fetch(before):
                         return samples, charges
-                    others = graph[before]
-                    others = others[others != child]
-                    if len(others):
-                        nxt = int(others[draw_python(key, f"{t}.{j}") % len(others)])
+                    back = graph[before]
+                    if rest := others(back, child):
+                        nxt = nth_other(back, draw_python(key, f"{t}.{j}") % rest, child)
                     else:
                         child = path.pop()
                     j += 1
@@ -201,23 +346,24 @@ def walk(graph, seeds: list[int], key: str, cap: int, dead_end: str = "restart",
     return samples, charges
 
 
-def walks(n: DataFrame, a: DataFrame, seeds: list[int], runs: int, cap: int, seed: int = 42, group: str = "walk", charges: bool = False, **how) -> DataFrame:
-    """TRACE (or CHARGES) of ``runs`` walks, one task a run.  ``how``: see ``walk``."""
+def walk_log(n: DataFrame, a: DataFrame, seeds: list[int], runs: int, cap: int, seed: int = 42, group: str = "walk", **how) -> DataFrame:
+    """LOG of ``runs`` walks, one task a run (a walk is sequential).  ``how``: see ``walk``."""
     spark = n.sparkSession
-    size, count = n.count(), a.count()
-    if count > MOST_ARCS:
-        raise ValueError(f"{count} arcs are more than walks broadcast ({MOST_ARCS}); split the graph or raise MOST_ARCS with executors to match")
-    pairs = a.select("src", "dst").toPandas()
-    graph = spark.sparkContext.broadcast(Csr(size, pairs["src"].to_numpy(), pairs["dst"].to_numpy()))
+    graph, size = store_arcs(a), n.count()
 
     def run(batches):
         for pdf in batches:
             for r in pdf["run"]:
-                samples, paid = walk(graph.value, seeds, f"{seed}|{group}|{r}", cap, **how)
-                rows, names = (paid, ["seq", "kind", "node", "cost", "cum_cost"]) if charges else (samples, ["idx", "node", "degree", "step", "walk", "cum_cost"])
-                for at in range(0, len(rows), 100_000):
-                    out = pd.DataFrame(rows[at : at + 100_000], columns=names)
-                    out.insert(0, "run", r)
-                    yield out
-
-    return spark.range(runs, numPartitions=max(1, min(runs, 2 * spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("run")).mapInPandas(run, CHARGES if charges else TRACE)
+                samples, paid = walk(graph, seeds, f"{seed}|{group}|{r}", cap, size=size, **how)
+                of_cost = {s[5]: s for s in samples}  # every charge costs something, so costs tell charges apart
+                for at in range(0, len(paid), 100_000):
+                    rows = [(r, *c, *((s[0], s[2], s[3], s[4]) if (s := of_cost.get(c[4])) else (None,) * 4)) for c in paid[at : at + 100_000]]
+                    yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in LOG.split(", ")]).astype({"idx": "Int64", "degree": "Int32", "step": "Int64", "walk": "Int32"})
+
+    return spark.range(runs, numPartitions=max(1, min(runs, 2 * spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("run")).mapInPandas(run, LOG)
+
+
+def walks(n: DataFrame, a: DataFrame, seeds: list[int], runs: int, cap: int, seed: int = 42, group: str = "walk", charges: bool = False, **how) -> DataFrame:
+    """TRACE (or CHARGES) of ``runs`` walks."""
+    log = walk_log(n, a, seeds, runs, cap, seed, group, **how)
+    return charges_of(log) if charges else trace_of(log)

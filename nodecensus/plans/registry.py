@@ -377,9 +377,9 @@ def walk5_wis(spark, d):
 # Experiments -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT n, max(b)::DOUBLE AS budget_rel, budget_abs FROM (SELECT n, b, greatest(round_even(b * n, 0), 2)::BIGINT AS budget_abs FROM (SELECT DISTINCT p_partkey AS n FROM part WHERE p_partkey % 10 = 5) x, (VALUES (0.005), (0.01), (0.02), (0.05), (0.1), (0.2)) v(b)) GROUP BY n, budget_abs")
+@query("SELECT n, max(b)::DOUBLE AS budget_rel, budget_abs FROM (SELECT n, b, greatest(round_even(b * n, 0), 2)::BIGINT AS budget_abs FROM (SELECT DISTINCT p_partkey AS n FROM part) x, (VALUES (0.005), (0.01), (0.02), (0.05), (0.1), (0.2)) v(b)) GROUP BY n, budget_abs")
 def budget_ladder(spark, d):
-    sizes = table(spark, d, "part").where("p_partkey % 10 = 5").select(F.col("p_partkey").alias("n")).distinct()
+    sizes = table(spark, d, "part").select(F.col("p_partkey").alias("n")).distinct()
     return experiment.ladder_frame(sizes, spark.createDataFrame([(b,) for b in experiment.BUDGETS], "budget_rel double")).select("n", "budget_rel", "budget_abs")
 
 

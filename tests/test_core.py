@@ -81,6 +81,52 @@ def test_prefix(dead_end):
         assert short == [s for s in long if s[5] <= cap]
 
 
+def test_stored_arcs(spark):
+    """Walks over many small files are those over lists, a node with more arcs than a file included."""
+    import numpy as np
+
+    near = {u: [v for v in range(400) if u != v and (u == 7 or (u * 7 + v * 3) % 101 == 0) and u % 5] for u in range(400)}
+    a = spark.createDataFrame([(u, v) for u, x in near.items() for v in x], "src long, dst long")
+    arcs = draws.store_arcs(a, 50)
+    arcs.held = 2
+    assert len(arcs.files) > 20
+    assert all([x[i] for i in range(len(x))] == near[u] for u in near for x in [arcs[u]])
+    g = {u: np.array(v, np.int64) for u, v in near.items()}
+    for how in draws.DEAD_ENDS:
+        assert draws.walk(arcs, [], "k", 4000, how, size=400) == draws.walk(g, [], "k", 4000, how, size=400)
+    log = draws.walk_log(spark.range(400), a, [1], 2, 3000, dead_end="backtrack")
+    assert draws.trace_of(log).count() < log.count() and log.where("kind = 'draw'").count() == 2
+    assert [tuple(r) for r in draws.trace_of(log).where("run = 1").orderBy("idx").drop("run").collect()] == draws.walk(g, [1], "42|walk|1", 3000, "backtrack")[0]
+
+
+def test_self_loops():
+    g = {0: [0, 1], 1: [0, 1], 2: [2]}
+    for allowed in (False, True):
+        path = [s[1] for s in draws.walk(g, [0], "k", 2000, allow_self_loops=allowed)[0]]
+        assert any(a == b for a, b in zip(path, path[1:], strict=False)) == allowed
+
+
+def test_priced_over_blocks(spark, monkeypatch):
+    """Running costs over several blocks of draws, against a loop."""
+    monkeypatch.setattr(draws, "BLOCK", 8)
+    n, a = spark.range(9), spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
+    log = draws.uniform_log(n, a, 2, 5050).orderBy("run", "seq").collect()
+    for run in range(2):
+        cum, seen, want, i = 0, set(), [], 0
+        while cum + 100 <= 5050:
+            u = draw_python(f"42|uniform|{run}", i) % 9
+            cum += 100
+            want.append(("draw", u, cum))
+            price = 2 if u in seen else 100
+            if cum + price > 5050:
+                break
+            cum += price
+            want.append(("cached" if u in seen else "fetch", u, cum))
+            seen.add(u)
+            i += 1
+        assert [(r["kind"], r["node"], r["cum_cost"]) for r in log if r["run"] == run] == want
+
+
 def test_prefix_of_many_budgets(spark):
     trace = spark.createDataFrame([(0, 100)], "node long, cum_cost long")
     ladder = spark.range(1500).select((F.col("id") / 1500).alias("budget_rel"), (F.col("id") + 1).alias("budget_abs"), ((F.col("id") + 1) * 100).alias("cap"))
@@ -146,7 +192,7 @@ def test_no_path(spark):
 
 
 def test_random():
-    assert draw_python("42|x", 1) == 1803196262
+    assert draw_python("42|x", 1) == 484041811072957956
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
