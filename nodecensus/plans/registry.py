@@ -324,6 +324,49 @@ go(run, key, t, node, deg, cum, nxt, trace) AS (
 SELECT run::INTEGER AS run, t - 1 AS idx, node, deg::INTEGER AS degree, cum AS cum_cost FROM go WHERE t > 0"""
 
 
+def backtrack_sql(cap: int, group: str, select: str) -> str:
+    """Charges of a walk that backs up at dead ends, on directed g4; a row of ``go`` is a charge: a seed's draw (mode D), a sample's
+    fetch (S) or a look back (L).  ``look`` is the neighbours of the node above without the child that the walk came from."""
+    price = "CASE WHEN list_contains(trace, nxt) THEN 2 ELSE 100 END"
+    pick = lambda nodes, at: f"{nodes}[1 + {draw_sql('key', at)} % len({nodes})]"
+    # After a charge at nxt: "on" is where a step leads to; failing that the walk looks back to "up", or starts again.
+    return f"""WITH RECURSIVE {nodes_sql('g4')}, nb AS (SELECT id, list(dst ORDER BY dst) FILTER (WHERE dst IS NOT NULL) AS nbrs FROM nodes LEFT JOIN arcs ON src = id GROUP BY id),
+go(run, key, seq, mode, node, cost, cum, t, j, nxt, to_mode, child, path, trace, idx, deg) AS (
+  SELECT r, '42|{group}|' || r, 0::BIGINT, 'D', 0::BIGINT, 100::BIGINT, 100::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 'S', -1::BIGINT, [0]::BIGINT[], []::BIGINT[], 0::BIGINT, 0::BIGINT FROM range(3) a(r)
+  UNION ALL
+  SELECT run, key, seq + 1, to_mode, spot, price, cum, CASE WHEN nxt_mode = 'S' THEN t + 1 ELSE t END, CASE WHEN nxt_mode = 'S' THEN 0 ELSE j END, CASE WHEN nxt_mode = 'S' THEN coalesce(on_, 0) ELSE path[-1] END, nxt_mode, child,
+         CASE WHEN nxt_mode = 'S' THEN list_append(path, coalesce(on_, 0)) ELSE path END, trace, idx, deg
+  FROM (SELECT *, CASE WHEN on_ IS NULL AND len(path) > 0 THEN 'L' ELSE 'S' END AS nxt_mode FROM (
+    SELECT run, key, seq, to_mode, spot, price, cum, t, idx + (to_mode = 'S')::BIGINT AS idx, coalesce(len(nbrs), 0) AS deg, list_append(trace, spot) AS trace,
+           CASE WHEN to_mode = 'S' AND len(nbrs) > 0 THEN {pick('nbrs', 't')} WHEN to_mode = 'L' AND len(look) > 0 THEN {pick('look', "t || '.' || j")} END AS on_,
+           CASE WHEN to_mode = 'L' THEN j + 1 ELSE 0 END AS j,
+           CASE WHEN to_mode = 'S' AND coalesce(len(nbrs), 0) = 0 OR to_mode = 'L' AND len(look) = 0 THEN path[-1] ELSE child END AS child,
+           CASE WHEN to_mode = 'S' AND coalesce(len(nbrs), 0) = 0 OR to_mode = 'L' AND len(look) = 0 THEN path[:len(path) - 1] ELSE path END AS path
+    FROM (SELECT go.* EXCLUDE (mode, node, cost, cum, nxt, deg), nxt AS spot, {price} AS price, cum + {price} AS cum, nbrs, list_filter(nbrs, lambda x: x <> child) AS look FROM go JOIN nb ON nb.id = nxt WHERE cum + {price} <= {cap}) a) b) c)
+{select}"""
+
+
+def captures_walk_sql(cap: int, group: str) -> str:
+    """CTE tr(run, node, degree, walk) of two captures that share a budget, on undirected g4: the first ends at half of it."""
+    price = "CASE WHEN list_contains(trace, nxt) THEN 2 ELSE 100 END"
+    over = f"(w = 0 AND 2 * cum >= {cap})"
+    return f"""{nodes_sql('g4')}, v AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs), nb AS (SELECT id, count(dst) AS deg, list(dst ORDER BY dst) AS nbrs FROM nodes LEFT JOIN v ON src = id GROUP BY id),
+go(run, key, t, w, node, deg, cum, nxt, trace) AS (
+  SELECT r, '42|{group}|' || r, 0::BIGINT, 0, -1::BIGINT, 0::BIGINT, 100::BIGINT, 0::BIGINT, []::BIGINT[] FROM range(3) a(r)
+  UNION ALL SELECT run, key, CASE WHEN {over} THEN t ELSE t + 1 END, CASE WHEN {over} THEN 1 ELSE w END, CASE WHEN {over} THEN -1 ELSE nxt END, nb.deg, cum + CASE WHEN {over} THEN 100 ELSE {price} END,
+    CASE WHEN NOT {over} AND nb.deg > 0 THEN nbrs[1 + {draw_sql('key', 't')} % nb.deg] ELSE 0 END, CASE WHEN {over} THEN trace ELSE list_append(trace, nxt) END
+  FROM go JOIN nb ON nb.id = nxt WHERE cum + CASE WHEN {over} THEN 100 ELSE {price} END <= {cap}),
+tr AS (SELECT run, node, deg AS degree, w AS walk FROM go WHERE node >= 0)"""
+
+
+def walk5_sql(samples: int) -> str:
+    """CTE tr(run, node, degree) of end nodes of five free steps on undirected g4, which has no node without arcs."""
+    steps = "".join(f", w{k} AS (SELECT run, key, i, nbrs[1 + {draw_sql('key', f"i || '.{k}'")} % deg] AS node FROM w{k - 1} JOIN nb ON id = node)" for k in range(1, 6))
+    return f"""{nodes_sql('g4')}, v AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs), nb AS (SELECT id, count(dst) AS deg, list(dst ORDER BY dst) AS nbrs FROM nodes JOIN v ON src = id GROUP BY id),
+w0 AS (SELECT run, key, i, {draw_sql('key', "i || '.0'")} % (SELECT count(*) FROM nodes) AS node FROM (SELECT r AS run, '42|walk5|' || r AS key, i FROM range(3) a(r), range({samples}) b(i))){steps},
+tr AS (SELECT run, node, deg AS degree FROM w5 JOIN nb ON id = node)"""
+
+
 def _walk(spark, d, view: str, cap: int, group: str, **how) -> DataFrame:
     n, a = graph.build(raw(spark, d, "g4"))
     return draws.walks(n, stored(graph.view(a, view), "view"), [0], 3, cap, 42, group, **how)
@@ -344,19 +387,22 @@ def walk_undirected(spark, d):
     return _walk(spark, d, "undirected", 20000, "r", dead_end="restart").select("run", "idx", "node", "degree", "cum_cost")
 
 
-@query()
+@query(backtrack_sql(5000, "b", "SELECT run::INTEGER AS run, idx - 1 AS idx, node, deg::INTEGER AS degree, cum AS cum_cost FROM go WHERE mode = 'S'"))
 def walk_backtrack(spark, d):
-    return _walk(spark, d, "directed", 5000, "b", dead_end="backtrack")
+    return _walk(spark, d, "directed", 5000, "b", dead_end="backtrack").select("run", "idx", "node", "degree", "cum_cost")
 
 
-@query()
+@query(backtrack_sql(5000, "b", "SELECT run::INTEGER AS run, seq, CASE WHEN mode = 'D' THEN 'draw' WHEN cost = 100 THEN 'fetch' ELSE 'cached' END AS kind, node, cost, cum AS cum_cost FROM go"))
 def walk_charges(spark, d):
     return _walk(spark, d, "directed", 5000, "b", charges=True, dead_end="backtrack")
 
 
-@query()
+@query(f"""WITH RECURSIVE {captures_walk_sql(40000, 'c')}, c AS (SELECT run, walk, node, count(*) AS c FROM tr GROUP BY ALL), b AS (SELECT run, node, count(*) AS seen, max((walk = 0)::INT) AS a1, max((walk = 1)::INT) AS a2, sum(c) AS c, sum(c * (c - 1) // 2) AS inside FROM c GROUP BY ALL),
+f AS (SELECT run, sum(a1)::BIGINT AS n1, sum(a2)::BIGINT AS n2, sum(a1 * a2)::BIGINT AS overlap, sum(seen - 1)::BIGINT AS recaptures, sum(c * (c - 1) // 2 - inside)::BIGINT AS cross_collisions FROM b GROUP BY run)
+SELECT run::INTEGER AS run, n1, n2, overlap, recaptures, cross_collisions, {R('n1 * n2::DOUBLE / nullif(overlap, 0)')} AS lp FROM f""")
 def capture_recapture(spark, d):
-    return estimate.captures(estimate.thinned(_walk(spark, d, "undirected", 40000, "c", n_walks=2), "by_walk"), ["run"])
+    c = estimate.captures(estimate.thinned(_walk(spark, d, "undirected", 40000, "c", n_walks=2), "by_walk"), ["run"])
+    return rounded(c.select("run", "n1", "n2", "overlap", "recaptures", "cross_collisions", "lp"), "lp")
 
 
 def _walk5(spark, d) -> DataFrame:
@@ -364,14 +410,18 @@ def _walk5(spark, d) -> DataFrame:
     return stored(draws.short_walks(n, stored(graph.view(a, "undirected"), "view"), 3, 20000), "walk5")
 
 
-@query()
+_WALK5 = f"""WITH {walk5_sql(200)}, c AS (SELECT run, node, count(*) AS c, sum(1.0 / degree) AS sw, sum(degree) AS si FROM tr GROUP BY ALL),
+s AS (SELECT run::INTEGER AS run, sum(c)::BIGINT AS k, sum(c * (c - 1) // 2)::BIGINT AS n_col, sum(sw) AS sw, sum(si) AS si FROM c GROUP BY ALL)"""
+
+
+@query(f"{_WALK5} SELECT run, k, n_col, {R('k * (k - 1) / 2 / nullif(n_col, 0)')} AS uis FROM s")
 def walk5_uis(spark, d):
-    return estimate.per_set(estimate.thinned(_walk5(spark, d)), ["run"])
+    return rounded(estimate.per_set(estimate.thinned(_walk5(spark, d)), ["run"]).select("run", "k", "n_col", "uis"), "uis")
 
 
-@query()
+@query(f"{_WALK5} SELECT run, k, n_col, {R('k * (k - 1) / 2 / nullif(n_col, 0) * (sw / k) * (si / k)')} AS katzir FROM s")
 def walk5_wis(spark, d):
-    return estimate.per_set(estimate.thinned(_walk5(spark, d)), ["run"], 0, True)
+    return rounded(estimate.per_set(estimate.thinned(_walk5(spark, d)), ["run"], 0, True).select("run", "k", "n_col", "katzir"), "katzir")
 
 
 # Experiments -----------------------------------------------------------------------------------------------------------
