@@ -9,7 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-THINNINGS = ("none", "simple", "shifted", "by_walk")
+#: By name: trace, step -> trace with subset and pos (place within the subset).
+THINNINGS = {
+    "none": lambda trace, step: trace.withColumns({"subset": F.lit(0), "pos": F.col("idx")}),
+    "simple": lambda trace, step: trace.where(F.col("idx") % step == 0).withColumns({"subset": F.lit(0), "pos": F.floor(F.col("idx") / step)}),
+    "shifted": lambda trace, step: trace.withColumns({"subset": (F.col("idx") % step).cast("int"), "pos": F.floor(F.col("idx") / step)}),
+    "by_walk": lambda trace, step: trace.withColumns({"subset": F.col("walk").cast("int"), "pos": F.col("idx")}),
+}
 
 
 def prefix(trace: DataFrame, ladder: DataFrame) -> DataFrame:
@@ -18,16 +24,10 @@ def prefix(trace: DataFrame, ladder: DataFrame) -> DataFrame:
 
 
 def thinned(trace: DataFrame, how: str = "none", step: int = 5) -> DataFrame:
-    """trace with subset and pos (place within the subset)."""
+    """trace with subset and pos (place within the subset).  THINNINGS takes further ways."""
     if how not in THINNINGS:
         raise ValueError(f"no thinning {how!r}")
-    if how == "none":
-        return trace.withColumns({"subset": F.lit(0), "pos": F.col("idx")})
-    if how == "simple":
-        return trace.where(F.col("idx") % step == 0).withColumns({"subset": F.lit(0), "pos": F.floor(F.col("idx") / step)})
-    if how == "shifted":
-        return trace.withColumns({"subset": (F.col("idx") % step).cast("int"), "pos": F.floor(F.col("idx") / step)})
-    return trace.withColumns({"subset": F.col("walk").cast("int"), "pos": F.col("idx")})
+    return THINNINGS[how](trace, step)
 
 
 def weight(inverse_degree: bool) -> Column:

@@ -191,6 +191,58 @@ def test_no_path(spark):
     assert all((x["stopped_by"], x["queries_used"]) == ("budget", x["budget_abs"]) for x in r if x["view"] == "undirected")
 
 
+def test_all_estimators_and_views(spark):
+    """Full rows of all estimators in all views, what is known is skipped, and nothing known needs no graph."""
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 7 + k * k) % 60}") for i in range(60) for k in range(1, 6)] + [("n1", "end")], "s string, d string")
+    said = []
+    rows, visits = experiment.run(edges, "g", None, experiment.graph.VIEWS, (0.5, 1.0), 2, seeds=["n3", "N5"], progress=lambda *x: said.append(x))
+    got = rows.collect()
+    assert len(got) == 39 * 3 * 2 * 2 and len(said) > 30 and said[-1][0] == said[-1][1]
+    assert all(r["stopped_by"] == "budget" and r["queries_used"] <= r["budget_abs"] and r["start_node"] == "n3" for r in got)
+    for r in got:
+        if r["walk_group"] == "uniform":
+            assert r["n_random_node"] - (r["n_neighbors"] + r["cached_queries"]) in (0, 1)
+            assert abs(r["n_random_node"] + r["n_neighbors"] + r["cached_queries"] * 0.02 - r["queries_used"]) < 1e-9
+    assert {(r["estimator"], r["budget_rel"]) for r in got if r["seconds"] and r["walk_group"] == "uniform"} == {("uniform-collision", 1.0)}
+    counts = {(r["view"], r["estimator"], r["budget_rel"]): r["n"] for r in visits.groupBy("view", "estimator", "budget_rel").agg(F.sum("visits").alias("n")).collect()}
+    paid = {}
+    for r in got:
+        paid[r["view"], r["estimator"], r["budget_rel"]] = paid.get((r["view"], r["estimator"], r["budget_rel"]), 0) + r["n_random_node"] + r["n_neighbors"] + r["cached_queries"]
+    assert counts.items() <= paid.items() and ("directed", "uniform-collision", 0.5) not in counts and ("directed", "capture-recapture__restart", 0.5) in counts
+    known = spark.createDataFrame([tuple(r) for r in got], results.ESTIMATES)
+    lost = spark.createDataFrame([], "s string, d string").withColumn("d", F.raise_error(F.lit("read")))
+    assert experiment.run(lost, "g", None, experiment.graph.VIEWS, (0.5, 1.0), 2, seeds=["n3"], known=known)[0].count() == 0
+    more = experiment.run(edges, "g", ["uniform-collision", "uniform-collision__weighted"], ("directed",), (0.5, 1.0), 3, seeds=["n3"], known=known.where("estimator <> 'uniform-collision'"))[0].collect()
+    assert sorted((r["estimator"], r["run"]) for r in more if r["budget_rel"] == 1.0) == [("uniform-collision", 0), ("uniform-collision", 1), ("uniform-collision", 2), ("uniform-collision__weighted", 2)]
+    with pytest.raises(ValueError, match="61 nodes, this one has 2"):
+        experiment.run(spark.createDataFrame([("a", "b")], "s string, d string"), "g", None, ("directed",), (0.5,), 3, seeds=["n3"], known=known)
+
+
+def test_starts():
+    assert experiment.starts_of(["a", "B"], None) == ["a"] and experiment.starts_of(None, None) == [None]
+    assert experiment.starts_of(["a", "B"], "ALL") == ["a", "B"] and experiment.starts_of(["a", "B"], "b") == ["B"] and experiment.starts_of(None, "x") == ["x"]
+    with pytest.raises(ValueError, match="no seed"):
+        experiment.starts_of(["a"], "c")
+
+
+def test_groups_and_formulas(spark):
+    two = [estimators.build("uniform-collision"), estimators.build("uis__walk5")]
+    with pytest.raises(ValueError, match="same walk"):
+        experiment.estimate_group(spark.createDataFrame([], draws.LOG), two, [(0.1, 2)], 1)
+    with pytest.raises(ValueError, match="nested"):
+        experiment.estimate_group(spark.createDataFrame([], draws.LOG), [estimators.build("capture-recapture__restart")], [(0.1, 2), (0.2, 4)], 1)
+    estimators.register_formula("twice-uis", lambda: 2 * F.col("uis"))
+    e = estimators.register(estimators.Estimator("own", "comparison", "uniform", formula="twice-uis"))
+    try:
+        log = draws.uniform_log(spark.range(9), spark.createDataFrame([(0, 1)], "src long, dst long"), 1, 4000)
+        a, b = (experiment.estimate_group(log, [x], [(1.0, 40)], 1)[0].first() for x in (two[0], e))
+        assert b["estimate"] == 2 * a["estimate"]
+        with pytest.raises(ValueError, match="already"):
+            estimators.register_formula("uis", lambda: F.col("uis"))
+    finally:
+        del estimators._registry["own"], estimators.FORMULAS["twice-uis"]
+
+
 def test_random():
     assert draw_python("42|x", 1) == 484041811072957956
 
