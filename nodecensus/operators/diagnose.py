@@ -33,11 +33,6 @@ def lift(trace: DataFrame) -> DataFrame:
     return s.select("k", "n_col", "uis", (F.col("mean_w") * F.col("mean_inv")).alias("lift"), "katzir")
 
 
-def average_rank(column: str) -> Column:
-    """Rank with ties sharing their mean."""
-    return F.rank().over(Window.orderBy(column)) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2.0
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation; ranks come from counts per value, so no window spans the table."""
 
@@ -52,7 +47,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         return out.select(F.col(column).alias(f"_{column}"), (F.col("less") + F.col("off") + (F.col("c") + 1) / 2.0).alias(f"rank_{column}"))
 
     both = df.join(ranks(x), F.col(x) == F.col(f"_{x}")).join(ranks(y), F.col(y) == F.col(f"_{y}"))
-    return both.agg(F.corr(f"rank_{x}", f"rank_{y}").alias("rho"))
+    spread = F.stddev_pop(f"rank_{x}") * F.stddev_pop(f"rank_{y}")  # 0 where all ranks are equal: no correlation then
+    return both.agg(F.try_divide(F.covar_pop(f"rank_{x}", f"rank_{y}"), F.nullif(spread, F.lit(0.0))).alias("rho"))
 
 
 def top_nodes(visits: DataFrame, names: DataFrame, degrees: DataFrame, k: int = 10) -> DataFrame:
@@ -62,6 +58,11 @@ def top_nodes(visits: DataFrame, names: DataFrame, degrees: DataFrame, k: int =
     return out.join(names.select(F.col("id").alias("node"), "name"), "node", "left").join(degrees.withColumnRenamed("id", "node"), "node", "left")
 
 
+def geometric_edges(low: float, high: float, bins: int) -> list[float]:
+    """Edges of bins at equal ratios."""
+    return [low * (high / low) ** (k / bins) for k in range(bins)] + [high]
+
+
 def binned_medians(points: DataFrame, edges: list[float], least: int = 5) -> DataFrame:
     """Medians of x and y in bins of x between given edges; bins with fewer than ``least`` points are left out."""
     grid = F.lit(edges)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodecensus.sources.scratch import dense_ids, stored
+from nodecensus.sources.scratch import dense_ids, new_path, stored
 
 VIEWS = ("directed", "reverse", "undirected")
 
@@ -102,11 +102,25 @@ def check_seeds(resolved: DataFrame) -> DataFrame:
     return resolved
 
 
+def restrict_seeds(seeds: DataFrame, names: list[str]) -> DataFrame:
+    """The seeds of these names, in their order; a name that is no seed raises.  The full table stays, so that it can be restricted anew."""
+    kept = seeds.where(F.col("name").isin(names))
+    if lost := set(names) - {r["name"] for r in kept.select("name").distinct().collect()}:
+        raise ValueError(f"names that are no seeds: {sorted(lost)}")
+    return kept.orderBy("ord")
+
+
 def reachable(a: DataFrame, start: DataFrame) -> DataFrame:
-    """Ids that can be reached from the ids of ``start``, themselves included: a frontier loop; each level is stored."""
-    seen = frontier = stored(start.select("id").distinct(), "reached")
-    while not frontier.isEmpty():
-        near = a.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = stored(near.join(seen, "id", "left_anti"), "frontier")
-        seen = stored(seen.union(frontier), "reached")
-    return seen
+    """Ids that can be reached from the ids of ``start``, themselves included: a frontier loop over arcs that are stored by their
+    source once; each level is written for itself and none again."""
+    spark, path = a.sparkSession, new_path(a.sparkSession, "reached")
+    outs = stored(a.select("src", "dst").repartition("src"), "arcs-by-source")
+    frontier, level = start.select(F.col("id").cast("long").alias("id")).distinct(), 0
+    while True:
+        frontier.write.parquet(f"{path}/level={level}")
+        frontier = spark.read.schema("id long").parquet(f"{path}/level={level}")
+        if frontier.isEmpty():
+            return spark.read.schema("id long, level int").parquet(path).select("id")
+        seen = spark.read.schema("id long, level int").parquet(path).select("id")
+        near = outs.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier, level = near.join(seen, "id", "left_anti"), level + 1

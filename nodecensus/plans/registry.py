@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nodecensus.functions.rng import draw_sql
 from nodecensus.operators import diagnose, draws, estimate, graph, results
-from nodecensus.plans import estimators, experiment
+from nodecensus.plans import diagnosis, estimators, experiment
 from nodecensus.sources.scratch import dense_ids, stored, table
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -562,6 +562,18 @@ def top_entities(spark, d):
     return rounded(diagnose.top_nodes(v.select("node", "visits"), names, v.select(F.col("node").alias("id"), "deg")), "share")
 
 
+_DIAG_CAP = "(SELECT 100 * greatest(round_even(0.05 * count(*), 0), 2)::BIGINT FROM nodes)"
+
+
+@query(f"""WITH RECURSIVE w AS ({walk_sql("directed", "history", _DIAG_CAP, "diag|history")}), {nodes_sql('g4')}, c AS (SELECT node, count(*) AS c FROM (SELECT node FROM w WHERE run = 0 UNION ALL SELECT 0) GROUP BY node),
+o AS (SELECT node, c, (SELECT count(*) FROM arcs WHERE src = node) AS deg FROM c), k AS (SELECT count(*) AS k FROM w WHERE run = 0),
+f AS (SELECT count(*) AS distinct_nodes, sum(c * (c - 1) / 2) AS n_col, sum(c / greatest(deg, 1)::DOUBLE) / any_value(k) * (sum(c * greatest(deg, 1)::DOUBLE) / any_value(k)) AS lift, any_value(k) AS k FROM o, k)
+SELECT k AS steps, distinct_nodes, {R('lift')} AS lift, {R('k * (k - 1) / 2 / nullif(n_col, 0)')} AS uis, {R('k * (k - 1) / 2 / nullif(n_col, 0) * lift')} AS katzir FROM f""")
+def diagnose_walk(spark, d):
+    facts = diagnosis.diagnose(*graph.build(raw(spark, d, "g4")), "directed", "history", 0.05, start="c0").facts
+    return rounded(facts.select(F.col("steps").cast("long").alias("steps"), "distinct_nodes", "lift", "uis", "katzir"), "lift", "uis", "katzir")
+
+
 @query()
 def run_experiment(spark, d):
     chosen = ["uniform-collision", "wis-katzir__indep", "rw-plain__restart__shifted", "capture-recapture__restart", "uis__walk5"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,38 @@ from nodecensus.session import importable
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a local one only in a local session where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """What this application stores is here, so that ``clear`` can remove it."""
+    return f"{shared_dir(spark)}/nodecensus/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/nodecensus/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """Name of a table of this application in the warehouse."""
+    return f"{_prefix(spark)}{name}_{uuid.uuid4().hex}"
+
+
+def _prefix(spark: SparkSession) -> str:
+    return f"nodecensus_{re.sub('[^0-9a-z]', '', spark.sparkContext.applicationId.lower())}_"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has stored between stages.  DataFrames that read from it end with it: write results first."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith(_prefix(spark)):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

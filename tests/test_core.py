@@ -1,14 +1,17 @@
 """Hand-checked fixtures, properties, and DuckDB comparisons at the smallest scale."""
 
 import math
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from nodecensus import cli
 from nodecensus.functions.rng import draw_python
 from nodecensus.operators import draws, estimate, graph, results
-from nodecensus.plans import estimators, experiment, registry
+from nodecensus.plans import diagnosis, estimators, experiment, figures, provenance, registry
+from nodecensus.sources import catalogue, files, scratch
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -243,6 +246,127 @@ def test_groups_and_formulas(spark):
         del estimators._registry["own"], estimators.FORMULAS["twice-uis"]
 
 
+EDGES = [(f"n{i}", f"n{(i * 7 + k * k) % 60}") for i in range(60) for k in range(1, 6)]
+
+
+def test_catalogue(spark, tmp_path):
+    import pickle
+
+    store = catalogue.Catalogue(spark, str(tmp_path / "graphs"), {"small": "one"})
+    assert store.available() == []
+    adjacency = spark.createDataFrame([(0, "a", ["b", "c"]), (1, "b", ["z"]), (2, "c", [])], catalogue.ADJACENCY)
+    store.save(adjacency, "one")
+    with pytest.raises(FileExistsError):
+        store.save(adjacency, "one")
+    store.save(adjacency, "one", force=True)
+    (tmp_path / "g.pkl").write_bytes(pickle.dumps({"x": ["y", 3], "y": []}))
+    catalogue.convert_pickle(spark, str(tmp_path / "g.pkl"), store, "two", rows=1)
+    assert store.available() == ["one", "two"]
+    assert sorted(map(tuple, store.adjacency("two").collect())) == [(0, "x", ["y", "3"]), (1, "y", [])]
+    (tmp_path / "bad.pkl").write_bytes(pickle.dumps(print))
+    with pytest.raises(pickle.UnpicklingError):
+        catalogue.convert_pickle(spark, str(tmp_path / "bad.pkl"), store, "three")
+    n, a = store.load("small")
+    assert (n.count(), a.count()) == (4, 3) and store.load("one")[0] is n
+    assert store.load("two")[0].count() == 3 and store.kept[0] == "two"
+    with pytest.raises(ValueError, match="no graph"):
+        store.load("three")
+    types = spark.createDataFrame([("a", "instance"), ("b", "instance"), ("z", "literal"), ("c", None)], "name string, type string")
+    store.save_instances("one", types, "inst")
+    assert sorted(map(tuple, store.adjacency("inst").collect())) == [(0, "a", ["b"]), (1, "b", [])]
+    assert {r["type"]: r["n"] for r in catalogue.type_counts(types).collect()} == {"instance": 2, "literal": 1, None: 1}
+    seeds = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "ord int, name string")
+    assert [r["name"] for r in graph.restrict_seeds(seeds, ["c", "a"]).collect()] == ["a", "c"]
+    with pytest.raises(ValueError, match="no seeds"):
+        graph.restrict_seeds(seeds, ["q"])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Run, run again (nothing to do), replace, archive, figures and diagnosis."""
+    folder, out, figs = (str(tmp_path / x) for x in ("graphs", "results", "figures"))
+    rows = {}
+    for s, d in EDGES:
+        rows.setdefault(s, []).append(d)
+    catalogue.Catalogue(spark, folder).save(spark.createDataFrame([(k, s, d) for k, (s, d) in enumerate(rows.items())], catalogue.ADJACENCY), "g")
+    call = lambda *x: cli.main(["--folder", folder, "--results", out, *x], spark)
+    call("list")
+    assert "graphs: g" in capsys.readouterr().out
+    some = ["run", "--estimators", "uniform-collision", "wis-katzir__indep", "rw-plain__history__none", "--budgets", "0.5", "1", "--runs", "2", "--views", "undirected", "--seeds", "n1"]
+    call(*some)
+    assert "of the size" in capsys.readouterr().out
+    assert provenance.count_rows(spark, f"{out}/estimates") == 3 * 2 * 2
+    visits = provenance.count_rows(spark, f"{out}/visits")
+    call(*some)
+    assert "of the size" not in capsys.readouterr().out and provenance.count_rows(spark, f"{out}/visits") == visits > 0
+    call(*some, "--replace")
+    assert provenance.count_rows(spark, f"{out}/estimates") == 12 and provenance.count_rows(spark, f"{out}/visits") == visits
+    text = (tmp_path / "results" / "README.md").read_text()
+    assert "g, seed 42, start n1" in text and provenance.fingerprint() in text and "Outdated" not in text
+    call("figures", "--graphs", "g", "--out", figs)
+    call("figures", "--graphs", "g", "--out", figs, "--estimators", "uniform-collision", "rw-plain__history__none")
+    assert sorted(p.name for p in (tmp_path / "figures").iterdir()) == ["g__seed42__n1__comparison", "g__seed42__n1__wis_indep__undirected"]
+    call("diagnose", "--graph", "g", "--views", "directed", "undirected", "--budget", "0.5", "--start-node", "n1")
+    assert "verdict: free" in capsys.readouterr().out
+    call(*some[:2], "uniform-collision", *some[5:], "--deprecate", "new prices")
+    (old,) = (tmp_path / "deprecated").iterdir()
+    assert "new prices" in (old / "REASON.txt").read_text() and (old / "results" / "estimates").exists()
+    assert provenance.count_rows(spark, f"{out}/estimates") == 4
+
+
+def test_provenance(spark, tmp_path):
+    assert len(provenance.fingerprint()) == 12 and provenance.archive(spark, str(tmp_path / "none")) is None
+    old = spark.createDataFrame([("g", "directed", "e", 0.1, 0, 5.0)], "graph string, view string, estimator string, budget_rel double, run int, estimate double")
+    assert "stopped_by" in provenance.missing_columns(old) and "Outdated" in provenance.readme(old)
+    (tmp_path / "x.png").write_text("")
+    (tmp_path / "x-2.png").write_text("")
+    assert files.unique_path(spark, str(tmp_path / "x.png")) == str(tmp_path / "x-3.png")
+
+
+def test_figures():
+    assert len(figures.FIGURES) == 5 and len(set(figures.PALETTE)) == 8
+    with pytest.raises(ValueError, match="8 colours"):
+        figures.color(8)
+    with pytest.raises(ValueError, match="two estimators"):
+        figures.comparison(None, ["a"], [])
+    with pytest.raises(ValueError, match="share a colour"):
+        figures.comparison(None, ["a", "b"], [], {"a": "#fff", "b": "#fff"})
+
+
+def test_diagnose(spark):
+    """Facts of a diagnosis against the walk itself, in plain Python; a sink is found to be one."""
+    n, a = graph.build(spark.createDataFrame([*EDGES, ("n1", "s1"), ("s1", "s2"), ("s2", "s1")], "s string, d string"))
+    d = diagnosis.diagnose(n, a, "undirected", "restart", 2.0, 5, 7, "n1")
+    ids = {r["name"]: r["id"] for r in n.collect()}
+    near = {i: [] for i in ids.values()}
+    for r in graph.view(a, "undirected").orderBy("src", "dst").collect():
+        near[r["src"]].append(r["dst"])
+    samples, paid = draws.walk(near, [ids["n1"]], "7|diag|restart|0", round(2.0 * len(ids)) * 100, "restart")
+    counts = Counter(c[2] for c in paid)
+    f, k = d.facts.first(), len(samples)
+    n_col = sum(c * (c - 1) / 2 for c in counts.values())
+    lift = sum(c / len(near[u]) for u, c in counts.items()) / k * sum(c * len(near[u]) for u, c in counts.items()) / k
+    assert (f["steps"], f["distinct_nodes"], f["n_nodes"], f["reachable"], f["verdict"]) == (k, len(counts), len(ids), len(ids), "free")
+    assert f["uis"] == pytest.approx(k * (k - 1) / 2 / n_col) and f["lift"] == pytest.approx(lift) and f["katzir"] == pytest.approx(f["uis"] * lift)
+    assert [(r["node"], r["visits"]) for r in d.top.collect()] == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5]
+    steps = [c[2] for c in paid[1:]]
+    assert all(r["distinct"] == len(set(steps[: r["steps"]])) for r in d.coverage.collect() if r["steps"] <= len(steps))
+    assert set(d.panels()) == {"sizes", "coverage", "degrees", "top"} and "most visited" in d.report()
+    long = spark.createDataFrame([(f"x{i}", f"x{i + 1}") for i in range(500)] + [("x0", "q"), ("q", "r"), ("r", "q")], "s string, d string")
+    stuck = diagnosis.diagnose(*graph.build(long), "directed", "history", 0.1, 3, 1, "q").facts.first()
+    assert (stuck["reachable_end"], stuck["verdict"]) == (2, "stuck")
+
+
+def test_scratch(spark):
+    df = scratch.stored(spark.range(3), "x")
+    (path,) = {x.rpartition("/")[0] for x in df.inputFiles()}
+    assert scratch.own_dir(spark) in path and files.exists(spark, path)
+    name = scratch.new_table(spark, "t")
+    spark.range(2).write.saveAsTable(name)
+    other = spark.newSession()
+    scratch.clear(other)
+    assert not files.exists(spark, path) and not spark.catalog.tableExists(name)
+
+
 def test_random():
     assert draw_python("42|x", 1) == 484041811072957956
 
