@@ -12,8 +12,6 @@ with the same result.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -21,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodecensus.llm.common import partitions, text_of, utf8
+from nodecensus.llm.common import new_table, partitions, text_of, utf8
 
 CHUNK_BYTES = 2 << 20
 #: Bytes of questions that one bucket is meant to hold.
@@ -86,7 +84,7 @@ class Chunks:
 
         rows = text_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(deal, TABLE)
         self.buckets = partitions(spark)
-        self.name = f"nodecensus_chunks_{uuid.uuid4().hex}"
+        self.name = new_table(spark, "chunks")
         rows.write.option("compression", "uncompressed").bucketBy(self.buckets, "chunk").saveAsTable(self.name)
         self.rows = spark.table(self.name)
         self.aux = aux is not None
@@ -108,7 +106,7 @@ class Chunks:
 def deal_keys(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For keys: order by bucket (stable), the buckets that occur, and where each starts (with an end)."""
     own = (keys >> np.uint64(33)).astype(np.int64) % buckets
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own.astype(np.uint16) if buckets <= 1 << 16 else own, kind="stable")  # short numbers are sorted by digits
     present, starts = np.unique(own[order], return_index=True)
     return order, present, np.append(starts, len(keys))
 
@@ -178,9 +176,21 @@ def told(keys: np.ndarray, answers: list[dict] | None, buckets: int, kind=bool)
     return out
 
 
+def same_pairs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal (h, g) are together, and where each of them begins in it."""
+    order = np.argsort(h)
+    x, y = h[order], g[order]
+    begins, other = x[1:] != x[:-1], y[1:] != y[:-1]
+    if (other & ~begins).any():  # one half is equal, the other isn't
+        order = np.lexsort((g, h))
+        x, y = h[order], g[order]
+        begins, other = x[1:] != x[:-1], y[1:] != y[:-1]
+    return order, np.append(True, begins | other)[: len(h)]
+
+
 def repeated(keys: np.ndarray, several: np.ndarray) -> np.ndarray:
     """True for keys that more than one question holds, or that one holds several times."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     size = np.diff(np.append(first, len(k)))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodecensus.sources.scratch import new_path, shared_dir, stored, table  # noqa: F401  part of this module's interface
+from nodecensus.sources.scratch import new_path, new_table, shared_dir, stored, table  # noqa: F401  part of this module's interface
 
 #: Java and Python pattern of a word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

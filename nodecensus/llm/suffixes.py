@@ -7,14 +7,16 @@ Each byte covered by a ``window``-byte string that also starts anywhere else is
 windows with one anchor form a segment; its key is the anchor with ``SIDE`` more bytes on the side where all those windows have
 them.  Equal windows thus lie in segments with equal keys, so the suffixes are sorted key by key, in parallel.
 
-*Copies.*  Equal segments are told apart from single ones first, by 96-bit digests (see ``chunks``): each chunk sends each
+*Copies.*  Equal segments are told apart from single ones first, by 128-bit digests (see ``chunks``): each chunk sends each
 distinct segment once.  A segment that occurs again is removed whole; only its first occurrence goes on, and only if other
 segments share its key.
 
 *Suffix arrays.*  The segments that share keys with different ones are shipped to their keys' buckets, and there their suffixes are
 sorted by difference covers: the triples at two of three places are sorted and named, the names' own suffixes are ranked by
 recursion (three times the length at each level, no further than the window), the remaining suffixes are merged by their
-first symbols and the ranks behind, and then neighbours in the sorted order are compared over ``window`` bytes.
+first symbols and the ranks behind, and then neighbours in the sorted order are compared over ``window`` bytes.  The segments of a key
+with very many different ones are shipped in parts of ``PART`` windows with keys of ``window - PART + 1`` bytes, so that they are
+dealt over many buckets.
 
 Cases: null texts count as empty; texts shorter than a window lose nothing; overlaps and repeats within a document count;
 repeated rows are occurrences of their own (both lose their bytes); very long texts are taken whole, a chunk each;
@@ -32,8 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodecensus.llm.chunks import ASKED, NO_ID, Chunks, answer, asked_rows, text_blocks, told, window_minima
-from nodecensus.llm.common import BYTE_VALUES, Rolling, join_texts, mix, stored, table
+from nodecensus.llm.chunks import ASKED, NO_ID, Chunks, answer, asked_rows, each_row, same_pairs, text_blocks, told, window_minima
+from nodecensus.llm.common import BYTE_VALUES, ODD, Rolling, chained, join_texts, mix, partitions, stored, table
 
 GRAM = 32
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -41,8 +43,10 @@ SHIPPED = "bucket long, chunk long, data binary"
 FOUND = "chunk long, number binary, bits binary"
 #: Bytes of text whose suffixes are sorted at once (more only where one key has more).
 SORT_BYTES = 1 << 20
-COPY, SHIP = 1, 2
-_first, _second = Rolling(11), Rolling(12)
+COPY, SHIP, HOT = 1, 2, 4
+#: Different segments of a key from which on they are shipped in parts of up to PART windows, with longer keys.
+MANY, PART = 2048, 16
+_rolling = Rolling(11)  # chooses anchors; digests of segments are ``Bytes.digests``
 
 
 def ranks(t: np.ndarray, reach: int, span: int = 1) -> np.ndarray:
@@ -72,23 +76,32 @@ def ranks(t: np.ndarray, reach: int, span: int = 1) -> np.ndarray:
     by_one = lambda at: s[at] << 32 | rank[at + 1]
     both = np.concatenate([rest, two])
     by_two = dense(s[both] << 32 | s[both + 1]) << 32 | rank[both + 2]
-    rest_one, ones = by_one(rest), np.sort(by_one(one))
-    rest_two, twos = by_two[: len(rest)], np.sort(by_two[len(rest) :])
-    sampled = np.sort(rank[np.concatenate([one, two])])
-    own = np.sort(rest_one)
-    sorted_two = np.sort(rest_two)
+    of_rest, of_one, of_two = in_order(by_one(rest)), in_order(by_one(one)), in_order(by_two[len(rest) :])
+    rest_two, sampled = in_order(by_two[: len(rest)]), np.sort(rank[np.concatenate([one, two])])
     out = np.empty(n, np.int64)
-    left = lambda a, v: np.searchsorted(a, v, "left")
-    out[rest] = left(own, rest_one) + left(ones, rest_one) + left(twos, rest_two)
-    out[one] = left(sampled, rank[one]) + left(own, by_one(one))
-    out[two] = left(sampled, rank[two]) + left(sorted_two, by_two[len(rest) :])
+    out[rest] = below(of_rest[1], of_rest) + below(of_one[1], of_rest) + below(of_two[1], rest_two)
+    out[one] = below(sampled, in_order(rank[one])) + below(of_rest[1], of_one)
+    out[two] = below(sampled, in_order(rank[two])) + below(rest_two[1], of_two)
     return out + 1
 
 
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, and the keys in it."""
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
+def below(among: np.ndarray, asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the sorted ``among`` are less than each of the keys asked about: searched in their order, which is many times
+    faster than by chance."""
+    out = np.empty(len(asked[0]), np.int64)
+    out[asked[0]] = np.searchsorted(among, asked[1], "left")
+    return out
+
+
 def dense(keys: np.ndarray) -> np.ndarray:
     """Each key's place among the distinct keys."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
+    order, k = in_order(keys)
     out = np.empty(len(k), np.int64)
     out[order] = np.cumsum(np.append(False, k[1:] != k[:-1]))
     return out
@@ -107,7 +120,7 @@ def repeated_windows(segments: list[bytes], copies: np.ndarray, window: int) ->
     own = np.repeat(np.arange(len(segments)), size)
     at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + starts[own]
     begin[at] = True
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     order = order[begin[order]]
     # Compare the prefixes of neighbours.
     same = equal_prefixes(text, order[:-1], order[1:], window) if len(order) > 1 else np.zeros(0, bool)
@@ -137,18 +150,38 @@ def equal_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int)
 
 
 class Bytes:
-    """A block of texts as bytes, with prefix sums."""
+    """A block of texts as bytes, and the number that each eight of them make."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.data, self.bounds = join_texts(texts)
-        values = BYTE_VALUES[self.data]
-        self.sums, self.sums2 = _first.sums(values), _second.sums(values)
-
-    def digests(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _first.slices(self.sums, a, b)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        self.words = np.ndarray((len(self.data),), "<u8", padded, strides=(1,))
+
+    def digests(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Digests of the ``length`` bytes (8 at least) from each place on."""
+        return self._chained(at, length)[0]
+
+    def _chained(self, at: np.ndarray, length: int, halves: int = 1) -> list[np.ndarray]:
+        """Both halves of digests: eight bytes after the other, each step mixed."""
+        odd = [x + 2 * length for x in ODD[:halves]]
+        out = [np.full(len(at), x, np.uint64) for x in odd]
+        for k in [*range(0, length - 8, 8), length - 8]:
+            word = self.words[at + k]
+            out = [chained(x, word, o) for x, o in zip(out, odd, strict=True)]
+        return out
 
-    def second(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (_second.slices(self.sums2, a, b) >> np.uint64(32)).astype(np.uint32)
+    def segments(self, first: np.ndarray, count: np.ndarray, window: int) -> list[np.ndarray]:
+        """Both halves of the digests of segments of ``count`` windows: that of the first window, then what follows it."""
+        out = [chained(x, count.astype(np.uint64), o) for x, o in zip(self._chained(first, window, 2), ODD, strict=True)]
+        end = first + count + window - 1
+        at, open_ = first + window, np.flatnonzero(count > 1)
+        while len(open_):
+            word = self.words[np.minimum(at[open_], end[open_] - 8)]
+            for x, odd in zip(out, ODD, strict=True):
+                x[open_] = chained(x[open_], word, odd)
+            at[open_] += 8
+            open_ = open_[at[open_] < end[open_]]
+        return out
 
 
 def segments_of(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +191,8 @@ def segments_of(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray
     empty = np.empty(0, np.int64)
     if n < window:
         return empty, empty, empty
-    sums = _first.sums(BYTE_VALUES[data])
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * _first.inverses[: n - GRAM + 1])
+    sums = _rolling.sums(BYTE_VALUES[data])
+    grams = mix((sums[GRAM:] - sums[:-GRAM]) * _rolling.inverses[: n - GRAM + 1])
     anchor = window_minima(grams, window - GRAM + 1)
     at = np.arange(len(anchor))
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))[: len(anchor)]
@@ -191,7 +224,7 @@ class Asked:
     def __init__(self, data: bytes, aux: bytes, window: int) -> None:
         stored_segments = pickle.loads(zstandard.ZstdDecompressor().decompress(aux))  # noqa: S301  written by this module
         self.window, self.blocks, self.ids, own, first, count = window, [], [], [], [], []
-        key, h, g = [], [], []
+        key, h, g, at_key = [], [], [], []
         width = GRAM + (window - GRAM) // 2
         for k, ((_, ids, texts), (d, c, o)) in enumerate(zip(text_blocks(data), stored_segments, strict=True)):
             b = Bytes(texts)
@@ -202,42 +235,57 @@ class Asked:
             own.append(np.full(len(a), k))
             first.append(a)
             count.append(c)
-            key.append(b.digests(at, at + width))
-            h.append(b.digests(a, a + c + window - 1))
-            g.append(b.second(a, a + c + window - 1))
-        self.block, self.first, self.count = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (own, first, count))
-        key, h = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (key, h))
-        g = np.concatenate(g) if g else np.empty(0, np.uint32)
-        order = np.lexsort((g, h, key))
-        new = np.append(True, (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])) if len(key) else np.zeros(0, bool)
+            key.append(b.digests(at, width))
+            of = b.segments(a, c, window)
+            h.append(of[0])
+            g.append(of[1])
+            at_key.append(at)
+        self.block, self.first, self.count, self.at_key = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (own, first, count, at_key))
+        key, h, g = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (key, h, g))
+        # A segment's digest tells its key too, so the first half sorts and the second is only looked at where the first is equal.
+        order, new = same_pairs(h, g)
         self.lead = order[np.flatnonzero(new)]
         self.group = np.empty(len(key), np.int64)
         self.group[order] = np.cumsum(new) - 1
         self.key, self.h, self.g = key[self.lead], h[self.lead], g[self.lead]
         self.several = np.bincount(self.group, minlength=len(self.lead)) > 1 if len(key) else np.zeros(0, bool)
 
-    def segment(self, number: int) -> bytes:
+    def parts(self, number: int, hot: bool) -> list[tuple[int, int, bytes]]:
+        """(key, number of the first window, bytes) of a segment, whole or, if its key is hot, in parts.
+
+        A part has the windows that start from PART * c to PART * c + PART - 1 bytes before the key's place.  The bytes that they
+        all have, window - PART + 1 of them, are its key; equal windows lie in parts with equal keys.
+        """
         k = self.lead[number]
-        a = int(self.first[k])
-        return self.blocks[int(self.block[k])].data[a : a + int(self.count[k]) + self.window - 1].tobytes()
-
-
-def _decide(key: np.ndarray, h: np.ndarray, g: np.ndarray, several: np.ndarray) -> np.ndarray:
-    """COPY for segments that occur more than once; SHIP for the first question about a segment whose key has others."""
-    n = len(key)
-    order = np.lexsort((g, h, key))
-    k, a, b = key[order], h[order], g[order]
-    new_key = np.append(True, k[1:] != k[:-1]) if n else np.zeros(0, bool)
-    new = new_key | np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if n else new_key
-    group = np.cumsum(new) - 1
-    copies = (np.bincount(group) > 1) | (np.bincount(group, weights=several[order]) > 0) if n else np.zeros(0, bool)
-    kinds = np.bincount(np.cumsum(new_key) - 1, weights=new) if n else np.zeros(0)
-    out = np.empty(n, np.uint8)
-    out[order] = copies[group] * COPY + (new & (kinds[np.cumsum(new_key) - 1] > 1)) * SHIP
+        b, a, n, at = self.blocks[int(self.block[k])], int(self.first[k]), int(self.count[k]), int(self.at_key[k])
+        if not hot:
+            return [(int(self.key[number]), 0, b.data[a : a + n + self.window - 1].tobytes())]
+        out, to = [], n
+        while to > 0:  # from the last window, which is the nearest to the key's place
+            c = (at - (a + to - 1)) // PART
+            start = max(0, at - PART * c - PART + 1 - a)
+            key = int(b.digests(np.array([at - PART * c]), self.window - PART + 1)[0])
+            out.append((int(mix(np.array([key + c], np.uint64))[0]), start, b.data[a + start : a + to + self.window - 1].tobytes()))
+            to = start
+        return out
+
+
+def _decide(key: np.ndarray, h: np.ndarray, g: np.ndarray, several: np.ndarray, many: int = MANY) -> np.ndarray:
+    """COPY for segments that occur more than once; SHIP for the first question about a segment whose key has others, and HOT if it
+    has very many."""
+    order, new = same_pairs(h, g)
+    group, lead = np.cumsum(new) - 1, order[np.flatnonzero(new)]
+    times = np.bincount(group, minlength=len(lead)) > 1
+    copies = times | (np.bincount(group, weights=several[order], minlength=len(lead)) > 0)
+    _, which, kinds = np.unique(key[lead], return_inverse=True, return_counts=True)
+    of_key = kinds[which]
+    out = np.zeros(len(key), np.uint8)
+    out[order] = copies[group] * COPY
+    out[lead] += ((of_key > 1) * SHIP + (of_key >= many) * HOT).astype(np.uint8)
     return out
 
 
-def dedup(docs: DataFrame, window: int = 200) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 200, many: int = MANY) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.  See the module's text."""
     if window < GRAM + 8:
         raise ValueError(f"windows need at least {GRAM + 8} bytes")
@@ -246,36 +294,34 @@ def dedup(docs: DataFrame, window: int = 200) -> DataFrame:
     m = chunks.key_buckets(1.0)
 
     def ask(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                q = Asked(x["data"], x["aux"], window)
-                yield asked_rows(x["chunk"], q.key, [q.key, q.h, q.g, q.several.astype(np.uint8)], n)
+        for x in each_row(batches):
+            q = Asked(x["data"], x["aux"], window)
+            yield asked_rows(x["chunk"], q.key, [q.key, q.h, q.g, q.several.astype(np.uint8)], n)
 
-    first = stored(answer(chunks.with_answers().mapInArrow(ask, ASKED), _decide, (np.uint64, np.uint64, np.uint32, np.uint8)), "suffixes-segments")
+    first = stored(answer(chunks.with_answers().mapInArrow(ask, ASKED), lambda *c: _decide(*c, many), (np.uint64, np.uint64, np.uint64, np.uint8)), "suffixes-segments")
 
     def ship(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                q = Asked(x["data"], x["aux"], window)
-                said = told(q.key, x["answers0"], n, np.uint8)
-                numbers = np.flatnonzero(said & SHIP)
-                if not len(numbers):
-                    continue
-                bucket = (q.key[numbers] >> np.uint64(20)).astype(np.int64) % m
-                order = np.argsort(bucket, kind="stable")
-                numbers, bucket = numbers[order], bucket[order]
-                present, starts = np.unique(bucket, return_index=True)
-                data = []
-                for a, e in zip(starts.tolist(), [*starts[1:].tolist(), len(numbers)], strict=True):
-                    part = numbers[a:e]
-                    data.append(zstandard.ZstdCompressor(3).compress(pickle.dumps((part, q.key[part], (said[part] & COPY) > 0, [q.segment(k) for k in part.tolist()]))))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(present, pa.int64()), "chunk": pa.array([x["chunk"]] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+        for x in each_row(batches):
+            q = Asked(x["data"], x["aux"], window)
+            said = told(q.key, x["answers0"], n, np.uint8)
+            rows = [(number, start, key, bool(said[number] & COPY), part) for number in np.flatnonzero(said & SHIP).tolist() for key, start, part in q.parts(number, bool(said[number] & HOT))]
+            if not rows:
+                continue
+            number, start, key, copy = (np.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[:4], (np.int64, np.int64, np.uint64, bool), strict=True))
+            bucket = (key >> np.uint64(20)).astype(np.int64) % m
+            order = np.argsort(bucket, kind="stable")
+            present, starts = np.unique(bucket[order], return_index=True)
+            data = []
+            for a, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+                part = order[a:e]
+                data.append(zstandard.ZstdCompressor(3).compress(pickle.dumps((number[part], start[part], key[part], copy[part], [rows[k][4] for k in part.tolist()]))))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(present, pa.int64()), "chunk": pa.array([x["chunk"]] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
 
     def sort(t: pa.Table) -> pa.Table:
         rows = t.select(["chunk", "data"]).to_pylist()
         loaded = [pickle.loads(zstandard.ZstdDecompressor().decompress(x["data"])) for x in rows]  # noqa: S301  written above
-        key, copies = (np.concatenate([x[k] for x in loaded]) for k in (1, 2))
-        texts = [s for x in loaded for s in x[3]]
+        key, copies = (np.concatenate([x[k] for x in loaded]) for k in (2, 3))
+        texts = [s for x in loaded for s in x[4]]
         order = np.argsort(key, kind="stable")
         sizes = np.array([len(s) for s in texts])[order]
         bits: list = [None] * len(texts)
@@ -290,35 +336,37 @@ def dedup(docs: DataFrame, window: int = 200) -> DataFrame:
                 bits[k] = np.packbits(x).tobytes()
             at = to
         out, at = [], 0
-        for x, (numbers, _, own, _) in zip(rows, loaded, strict=True):
-            single = [(int(i), b) for i, c, b in zip(numbers.tolist(), own.tolist(), bits[at : at + len(numbers)], strict=True) if not c]
+        for x, (numbers, start, _, own, _) in zip(rows, loaded, strict=True):
+            single = [(i, a, b) for i, a, c, b in zip(numbers.tolist(), start.tolist(), own.tolist(), bits[at : at + len(numbers)], strict=True) if not c and b.count(0) < len(b)]
             at += len(numbers)
-            out.append((x["chunk"], np.array([i for i, _ in single], np.int64).tobytes(), pickle.dumps([b for _, b in single])))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "number", "bits"])
+            if single:
+                out.append((x["chunk"], np.array([y[:2] for y in single], np.int64).tobytes(), pickle.dumps([b for _, _, b in single])))
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "number", "bits"])
 
-    shipped = chunks.with_answers(first).mapInArrow(ship, SHIPPED)
+    # Few bytes make much work here, so buckets are dealt over all tasks whatever their bytes.
+    shipped = chunks.with_answers(first).mapInArrow(ship, SHIPPED).repartition(partitions(docs.sparkSession), "bucket")
     second = stored(shipped.groupBy("bucket").applyInArrow(sort, FOUND), "suffixes-windows").select("chunk", F.col("number").alias("bucket"), "bits")
 
     def remove(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                q = Asked(x["data"], x["aux"], window)
-                said = told(q.key, x["answers0"], n, np.uint8)
-                covers = [np.zeros(len(b.data) + 1, np.int32) for b in q.blocks]
-                whole = (said[q.group] & COPY) > 0 if len(q.group) else np.zeros(0, bool)
-                for k, cover in enumerate(covers):
-                    hit = whole & (q.block == k)
-                    np.add.at(cover, q.first[hit], 1)
-                    np.subtract.at(cover, q.first[hit] + q.count[hit] + window - 1, 1)
-                for found in x["answers1"] or []:
-                    for number, bits in zip(np.frombuffer(found["bucket"], np.int64).tolist(), pickle.loads(found["bits"]), strict=True):  # noqa: S301
-                        k = q.lead[number]
-                        at = int(q.first[k]) + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(q.count[k])))
-                        cover = covers[int(q.block[k])]
-                        cover[at] += 1
-                        np.subtract.at(cover, at + window, 1)
-                for b, ids, cover in zip(q.blocks, q.ids, covers, strict=True):
-                    yield _kept(b, ids, np.cumsum(cover[:-1]) > 0)
+        for x in each_row(batches):
+            q = Asked(x["data"], x["aux"], window)
+            said = told(q.key, x["answers0"], n, np.uint8)
+            covers = [np.zeros(len(b.data) + 1, np.int32) for b in q.blocks]
+            whole = (said[q.group] & COPY) > 0 if len(q.group) else np.zeros(0, bool)
+            for k, cover in enumerate(covers):
+                hit = whole & (q.block == k)
+                np.add.at(cover, q.first[hit], 1)
+                np.subtract.at(cover, q.first[hit] + q.count[hit] + window - 1, 1)
+            for found in x["answers1"] or []:
+                for (number, start), bits in zip(np.frombuffer(found["bucket"], np.int64).reshape(-1, 2).tolist(), pickle.loads(found["bits"]), strict=True):  # noqa: S301
+                    k = q.lead[number]
+                    at = int(q.first[k]) + start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+                    cover = covers[int(q.block[k])]
+                    np.add.at(cover, at, 1)
+                    np.subtract.at(cover, at + window, 1)
+            for b, ids, cover in zip(q.blocks, q.ids, covers, strict=True):
+                yield _kept(b, ids, np.cumsum(cover[:-1]) > 0)
 
     return chunks.with_answers(first, second).mapInArrow(remove, SCHEMA)
 

@@ -83,6 +83,47 @@ def test_suffixes_by_chance(spark):
     assert sorted(map(tuple, suffixes.dedup(df, 40).collect()), key=repr) == brute_bytes(texts, 40)
 
 
+def test_suffixes_of_patterns(spark):
+    """Strings over two letters that polynomial digests can't tell apart."""
+    texts = []
+    for n in (256, 512):
+        x, y = thue_morse(n)
+        texts += [(len(texts) + k, t) for k, t in enumerate([x, y, "start " + x, y + " end", x[:128] + "-" + x[128:], x[:180], y[60:]])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for window in (200, 100):
+        assert sorted(map(tuple, suffixes.dedup(df, window).collect()), key=repr) == brute_bytes(texts, window)
+
+
+@pytest.mark.parametrize("many", [2, 10**9])
+def test_suffixes_of_a_hot_key(spark, many):
+    """One passage in many texts, each in other surroundings: shipped whole and in parts, with equal results."""
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(190))
+    word = lambda n: "".join(rng.choice("klmnop ") for _ in range(n))
+    ends = [word(30) for _ in range(40)]
+    texts = [(i, rng.choice(ends)[rng.randint(0, 20) :] + passage + rng.choice(ends)[: rng.randint(0, 25)] + (word(40) if i % 2 else "")) for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(map(tuple, suffixes.dedup(df, 200, many).collect()), key=repr)
+    assert got == brute_bytes(texts) and any(r[2] for r in got) and not all(r[2] for r in got)
+
+
+def test_suffixes_deal_a_hot_key():
+    """150 bytes that are common to 100,000 segments: the parts' keys spread them over buckets within three times the median."""
+    rng = np.random.default_rng(1)
+    passage, loads = rng.integers(97, 107, 150).astype(np.uint8).tobytes(), np.zeros(64, np.int64)
+    for _ in range(5):  # 20,000 segments each
+        texts = [rng.integers(107, 117, 60).astype(np.uint8).tobytes() + passage + rng.integers(107, 117, 60).astype(np.uint8).tobytes() for _ in range(4000)]
+        from nodecensus.llm.chunks import pack_texts
+
+        data = pack_texts(list(range(len(texts))), texts)
+        q = suffixes.Asked(data, suffixes._aux(200)(data), 200)
+        assert len(q.key) >= len(texts)
+        for number in range(0, len(q.key), 3):
+            for key, _, part in q.parts(number, True):
+                loads[(key >> 20) % 64] += len(part)
+    assert loads.max() <= 3 * np.median(loads)
+
+
 def brute_components(rows, percent=85):
     sets = {}
     for d, t in rows:
