@@ -26,14 +26,12 @@ smallest doc_id; empty tables give no rows; other columns aren't read, and ``kee
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodecensus.llm.common import batches_of_texts, join_texts, mix, partitions, stored, strings_of, table, text_of, utf8, word_bounds, word_digests
+from nodecensus.llm.common import batches_of_texts, join_texts, mix, new_table, partitions, stored, strings_of, table, text_of, utf8, word_bounds, word_digests
 
 SHINGLE, BINS, PARITY, LONG = 5, 128, 512, 1500
 #: From which percentage on: bands, coordinates of a band, and coordinates of a similar pair that are equal at least.
@@ -64,7 +62,8 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE, halves: int = 1) -> t
             hit = size == k
             h[hit] = strings_of(digests, k, half)[at[hit]]
         out.append(h)
-    order = np.lexsort((out[0], own))
+    order = np.argsort(out[0])
+    order = order[np.argsort(own[order].astype(np.uint16), kind="stable")] if len(texts) <= 1 << 16 else np.lexsort((out[0], own))
     own, out = own[order], [h[order] for h in out]
     new = np.append(True, (out[0][1:] != out[0][:-1]) | (own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
     return own[new], *(h[new] for h in out)
@@ -185,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("label")), "minhash-labels")
     nodes = labels.select("rep")  # stored, so that Spark knows its size before it deals out texts for the join
     # The full sets of documents in buckets, bucketed by document (one file each, as texts are dealt so): rounds then move pairs only.
-    name = f"nodecensus_sets_{uuid.uuid4().hex}"
+    name = new_table(spark, "sets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.withColumnRenamed("rep", "_rep"), F.col("doc_id") == F.col("_rep"), "left_semi")
     full_sets(texts.repartition(partitions(spark), "doc_id")).write.bucketBy(partitions(spark), "doc_id").saveAsTable(name)
     sets = spark.table(name)

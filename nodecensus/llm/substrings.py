@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodecensus.llm.chunks import ASKED, NO_ID, Chunks, answer, asked_rows, each_row, repeated, text_blocks, told, window_minima
+from nodecensus.llm.chunks import ASKED, NO_ID, Chunks, answer, asked_rows, each_row, repeated, same_pairs, text_blocks, told, window_minima
 from nodecensus.llm.common import join_texts, stored, strings_of, table, word_bounds, word_digests
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -66,51 +66,66 @@ def _anchors(w: Words, alive: np.ndarray, window: int, length: int) -> np.ndarra
 
 
 def _level(blocks: list[Words], window: int, lengths: list[int], answers: list, buckets: list[int], upto: int):
-    """Windows per block that survive the levels before ``upto``, and that level's questions: their anchors, and the sorted distinct
-    digests with whether each occurs several times."""
+    """Windows per block that survive the levels before ``upto``, and that level's questions: the sorted distinct digests of their
+    anchors, whether each occurs several times, and which of them is whose."""
     alive = [w.windows(window) for w in blocks]
     for level, length in enumerate(lengths[: upto + 1]):
-        anchors = [_anchors(w, at, window, length) for w, at in zip(blocks, alive, strict=True)]
-        own = [w.strings(length)[np.unique(a)] for w, a in zip(blocks, anchors, strict=True) if len(a)]
-        keys, counts = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
+        own, which = [], []
+        for w, at in zip(blocks, alive, strict=True):
+            anchors = _anchors(w, at, window, length)  # they never go back
+            new = np.append(True, anchors[1:] != anchors[:-1])[: len(anchors)]
+            which.append(np.cumsum(new) - 1)
+            own.append(w.strings(length)[anchors[new]] if len(at) else np.empty(0, np.uint64))
+        keys, inverse, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(x) for x in own])
+        which = [inverse[e - len(x) : e][k] for x, e, k in zip(own, ends.tolist(), which, strict=True)]
         if level == upto:
-            return alive, anchors, keys, counts > 1
-        alive = _alive(blocks, alive, anchors, keys, told(keys, answers[level], buckets[level]), length)
-    return alive, None, None, None
-
-
-def _alive(blocks, alive, anchors, keys, good, length: int) -> list[np.ndarray]:
-    return [at[good[np.searchsorted(keys, w.strings(length)[a])]] if len(a) else at for w, at, a in zip(blocks, alive, anchors, strict=True)]
-
-
-def _last_keys(blocks, ids, window, alive):
-    """All surviving windows: digests, doc_id, start within the text; and the sorted distinct digests with their first place."""
-    h, g, doc, start = ([np.empty(0, k)] for k in (np.uint64, np.uint64, np.int64, np.int64))
-    for w, own, at in zip(blocks, ids, alive, strict=True):
-        if not len(at):
-            continue
-        text = np.searchsorted(w.first, at, "right") - 1
-        h.append(w.strings(window)[at])
-        g.append(w.strings(window, 1)[at])
-        doc.append(own[text])
-        start.append(at - w.first[text])
-    h, g, doc, start = np.concatenate(h), np.concatenate(g), np.concatenate(doc), np.concatenate(start)
-    order = np.lexsort((start, doc, g, h))
-    new = np.append(True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])) if len(h) else np.zeros(0, bool)
-    lead = order[np.flatnonzero(new)]
-    group = np.empty(len(h), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return h, g, doc, start, lead, group
+            return alive, which, keys, counts > 1
+        good = told(keys, answers[level], buckets[level])
+        alive = [at[good[k]] for at, k in zip(alive, which, strict=True)]
+    raise AssertionError
+
+
+class Places:
+    """All surviving windows of a chunk: digests, and places (text and start as one number, in the order of doc_ids)."""
+
+    def __init__(self, blocks: list[Words], ids: list[np.ndarray], window: int, alive: list[np.ndarray]) -> None:
+        all_ids = np.concatenate([np.empty(0, np.int64), *ids])
+        self.ids, rank = np.unique(all_ids, return_inverse=True)
+        h, g, place, at_text = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        for w, own, at in zip(blocks, ids, alive, strict=True):
+            if len(at):
+                text = np.searchsorted(w.first, at, "right") - 1
+                h.append(w.strings(window)[at])
+                g.append(w.strings(window, 1)[at])
+                place.append(rank[at_text + text] << 32 | (at - w.first[text]))
+            at_text += len(own)
+        h, g, self.place = np.concatenate(h), np.concatenate(g), np.concatenate(place)
+        order, new = same_pairs(h, g)
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(self.place[order], first) if len(first) else self.place
+        # Distinct windows in the order of their first places, where ids and starts have small differences.
+        rank = np.argsort(least)
+        back = np.empty(len(rank), np.int64)
+        back[rank] = np.arange(len(rank))
+        self.group = np.empty(len(h), np.int64)
+        self.group[order] = back[np.cumsum(new) - 1]
+        lead = order[first[rank]]
+        self.h, self.g, self.first = h[lead], g[lead], least[rank]
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.h, self.g, self.ids[self.first >> 32], self.first & np.int64((1 << 32) - 1)]
 
 
 def _is_first(h: np.ndarray, g: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """True for the questions of a bucket that hold the first place of their digest."""
-    order = np.lexsort((start, doc, g, h))
-    a, b, d, s = h[order], g[order], doc[order], start[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    order, new = same_pairs(h, g)
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
     out = np.empty(len(h), bool)
-    out[order] = (d == d[lead]) & (s == s[lead])
+    if len(h):
+        d, s = doc[order], start[order]
+        early = d == np.minimum.reduceat(d, first)[group]
+        out[order] = early & (s == np.minimum.reduceat(np.where(early, s, NO_ID), first)[group])
     return out
 
 
@@ -163,8 +178,9 @@ def _run(docs: DataFrame, window: int, base: int, with_text: bool) -> DataFrame:
     def survivors(x):
         blocks, ids = _load(x["data"])
         said, last = [x[f"answers{k}"] for k in range(len(lengths))], len(lengths) - 1
-        alive, anchors, keys, _ = _level(blocks, window, lengths, said, lower, last)
-        alive = _alive(blocks, alive, anchors, keys, told(keys, said[last], lower[last]), lengths[last])
+        alive, which, keys, _ = _level(blocks, window, lengths, said, lower, last)
+        good = told(keys, said[last], lower[last])
+        alive = [at[good[k]] for at, k in zip(alive, which, strict=True)]
         for w in blocks:  # only the digests of windows are needed from here on
             w.made.clear()
         return blocks, ids, alive
@@ -172,10 +188,8 @@ def _run(docs: DataFrame, window: int, base: int, with_text: bool) -> DataFrame:
     def ask_last(rows):
         for x in each_row(rows):
             blocks, ids, alive = survivors(x)
-            h, g, doc, start, lead, _ = _last_keys(blocks, ids, window, alive)
-            # In the order of places, where ids and starts have small differences.
-            lead = lead[np.lexsort((start[lead], doc[lead]))]
-            yield asked_rows(x["chunk"], h[lead], [h[lead], g[lead], doc[lead], start[lead]], n)
+            p = Places(blocks, ids, window, alive)
+            yield asked_rows(x["chunk"], p.h, p.columns(), n)
 
     asked = chunks.with_answers(*answers).mapInArrow(ask_last, ASKED)
     answers.append(stored(answer(asked, _is_first, (np.uint64, np.uint64, np.int64, np.int64)), "substrings-last"))
@@ -183,11 +197,9 @@ def _run(docs: DataFrame, window: int, base: int, with_text: bool) -> DataFrame:
     def remove(rows):
         for x in each_row(rows):
             blocks, ids, alive = survivors(x)
-            h, g, doc, start, lead, group = _last_keys(blocks, ids, window, alive)
-            rank = np.lexsort((start[lead], doc[lead]))
-            said = np.empty(len(lead), bool)
-            said[rank] = told(h[lead[rank]], x[f"answers{len(lengths)}"], n)
-            gone = ~(said[group] & (doc == doc[lead[group]]) & (start == start[lead[group]]))
+            p = Places(blocks, ids, window, alive)
+            said = told(p.h, x[f"answers{len(lengths)}"], n)
+            gone = ~(said[p.group] & (p.place == p.first[p.group]))
             at = 0
             for w, own, windows in zip(blocks, ids, alive, strict=True):
                 yield _kept(w, own, windows[gone[at : at + len(windows)]], window, with_text)
