@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodecensus.llm.common import new_path, stored, table
+from nodecensus.llm.common import new_path, new_table, partitions, stored, table
 
 CHUNK = 64 << 10
 CHUNKS = "record_id long, page_id long, url string, chunk_no int, last boolean, payload_bytes long, digest string, data binary"
@@ -107,9 +107,11 @@ def _filesystem(path: str):
 
 
 def write_archives(chunks: DataFrame, of: DataFrame, folder: str) -> DataFrame:
-    """Writes the records and returns the manifest (MANIFEST), one row a record.  ``folder`` is a path that all executors share."""
-    joined = chunks.join(of, F.col("record_id") == F.col("_id")).where(~F.col("revisit") | (F.col("chunk_no") == 0))
-    rows = joined.withColumn("data", F.when(~F.col("revisit"), F.col("data"))).sortWithinPartitions("record_id", "chunk_no")
+    """Writes the records and returns the manifest (MANIFEST), one row a record.  ``folder`` is a path that all executors share.
+
+    ``chunks`` and ``of`` are dealt by part alike, so payloads are written where they are read; only ``of`` has been moved."""
+    joined = chunks.join(of.hint("shuffle_hash"), (F.col("part") == F.col("_part")) & (F.col("record_id") == F.col("_id"))).where(~F.col("revisit") | (F.col("chunk_no") == 0))
+    rows = joined.withColumn("data", F.when(~F.col("revisit"), F.col("data"))).drop("part", "_part").sortWithinPartitions("record_id", "chunk_no")
 
     def write(batches):
         task = TaskContext.get()
@@ -210,11 +212,25 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     return manifest.mapInArrow(read, RECORDS)
 
 
+#: Lets a join by part and record use tables that are dealt by part alone.
+BY_PART = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
 def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Writes pages to archives and returns the stored manifest."""
-    chunks = stored(chunk_table(pages.select("page_id", "url", "html")), "warc-chunks")
-    of = stored(kinds(chunks, least_bytes), "warc-kinds")
-    return stored(write_archives(chunks, of, folder or new_path(pages.sparkSession, "warc")), "warc-manifest")
+    spark = pages.sparkSession
+    n = partitions(spark)
+    # A part is a partition that was read, so each task writes one file of one bucket: dealing payloads moves nothing.
+    rows, name = chunk_table(pages.select("page_id", "url", "html")).withColumn("part", F.shiftright("record_id", 33)), new_table(spark, "chunks")
+    rows.write.option("compression", "zstd").bucketBy(n, "part").saveAsTable(name)
+    chunks, name = spark.table(name), new_table(spark, "kinds")
+    kinds(chunks, least_bytes).withColumn("_part", F.shiftright("_id", 33)).repartition(n, "_part").write.option("compression", "zstd").bucketBy(n, "_part").saveAsTable(name)
+    before = spark.conf.get(BY_PART)
+    spark.conf.set(BY_PART, "false")
+    try:
+        return stored(write_archives(chunks, spark.table(name), folder or new_path(spark, "warc")), "warc-manifest")
+    finally:
+        spark.conf.set(BY_PART, before)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

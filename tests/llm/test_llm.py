@@ -210,6 +210,34 @@ def test_topk(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_max_score_prunes():
+    """Candidates over several steps, few wide dimensions and many narrow ones: exact, with ties, as floats and as large numbers."""
+    rng = np.random.default_rng(2)
+    for scale in (1, 100_000):
+        data = (rng.integers(-9, 10, (5000, 40)) * np.where(np.arange(40) < 4, 100, 1) * scale).astype(np.int64)
+        data[1000:1020] = data[0]
+        ids = rng.permutation(5000).astype(np.int64)
+        queries = np.concatenate([data[:3], data[4990:], rng.integers(-50, 50, (4, 40)) * scale])
+        own = np.array([*ids[:3], *ids[4990:], 9001, 9002, 9003, 9004])
+        got = topk.max_score(queries, own, ids, data, 5)
+        want = [(int(me), int(i), int(s)) for me, q in zip(own, queries, strict=True) for s, i in sorted(((int(x), int(i)) for x, i in zip(data @ q, ids, strict=True) if i != me), key=lambda x: (-x[0], x[1]))[:5]]
+        assert got == want
+    with pytest.raises(OverflowError):
+        topk.max_score(np.full((1, 2), 4 << 30), np.array([1]), np.array([2]), np.full((1, 2), 4 << 30), 5)
+
+
+def test_topk_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 700)
+    rng = np.random.default_rng(3)
+    data = rng.integers(-300, 300, (3000, 12)) / 256
+    v = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect()}
+    q = np.floor(256 * data).astype(np.int64)
+    for me in range(0, 3000, 50):
+        best = sorted(((-int(s), i) for i, s in enumerate(q @ q[me]) if i != me))[:5]
+        assert [got[me, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+
+
 def plain_noise(key, *said):
     return int(hmac.new(key.encode(), "|".join(map(str, said)).encode(), "sha256").hexdigest()[:15], 16)
 
@@ -529,6 +557,12 @@ def test_warc(spark):
     x = "x" * 300000
     assert got == sorted([(1, 0, sha(""), "response", None), (None, 0, sha(""), "revisit", 1), (2, 300000, sha(x), "response", None), (2, 300000, sha(x), "revisit", 2), (3, 6, sha("ééé"), "response", None)], key=repr)
     assert warc.read_archives(warc.archive(df.limit(0))).count() == 0
+    many = spark.range(300, numPartitions=7).selectExpr("300 - id AS page_id", "cast(null as string) AS url", "repeat(concat('p', id % 40, ' '), 20000) AS html", "'x' AS data")
+    back = {r.page_id: r for r in warc.read_archives(warc.archive(many)).collect()}
+    assert len(back) == 300
+    for i in range(300):
+        least = min(300 - k for k in range(i % 40, 300, 40))
+        assert (back[300 - i].record_type, back[300 - i].refers_to) == (("response", None) if 300 - i == least else ("revisit", least))
 
 
 def test_substrings(odd):
