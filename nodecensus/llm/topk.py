@@ -11,7 +11,7 @@ of queries, a stated set, meets each shard once, as two packed rows, so no pair
 
 Cases: vectors that are null or hold null or non-finite components take no part; vectors of other lengths count as padded
 with zeros; ties go to the smaller vec_id; of repeated rows with a query's id the smallest vector asks, and no row with the
-query's id answers; fewer than k others give fewer rows; empty tables give none; only vec_id and embedding are read.
+query's id answers; fewer than k others give fewer rows; empty tables give none; components so large that a score might leave 64 bits raise; only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ def max_score(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, data: np.nd
         return out
     low_c, high_c = data.min(0), data.max(0)
     reach = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, data.shape[1])
+    if reach >= 2.0**62:
+        raise OverflowError("components are so large that scores may leave 64 bits")
     kind = np.float64 if reach < 2.0**52 else np.int64  # whole numbers below 2**53 are exact as floats
     columns = np.ascontiguousarray(data.T.astype(kind))
     for me, q in zip(own.tolist(), queries, strict=True):
