@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     full = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "sketch", "bands", "odd")).alias("x")).select("fp1", "fp2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.bands").alias("bands"), F.col("x.odd").alias("odd")), "minhash-classes")
     dealt = classes.select(F.explode("bands").alias("key"), "rep", "n")  # a large bucket counts as one row a task, and its join can be split
-    several = dealt.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
+    several = stored(dealt.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key"), "minhash-several")  # stored, so that the join with them can be split
     buckets = stored(dealt.join(several, "key", "left_semi"), "minhash-buckets")
     members = stored(buckets.join(classes.select("rep", "odd", F.when(F.col("n") > LONG, F.col("sketch")).alias("sketch")), "rep"), "minhash-members")
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("label")), "minhash-labels")
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     width = 1
     while not members.isEmpty():
         known = members.join(labels, "rep")
-        open_ = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        open_ = stored(known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "minhash-open")
         live = stored(known.join(open_, "key", "left_semi"), "minhash-live")
         slot = F.pmod(F.xxhash64("rep"), F.lit(width))
         leaders = stored(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("o"), "rep", "n", "label", "odd", "sketch")).alias("l")).select("key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), F.col("l.odd").alias("lead_odd"), F.col("l.sketch").alias("lead_sketch")), "minhash-leaders")
