@@ -312,14 +312,14 @@ def visits_uniform(spark, d):
     return cut.groupBy("budget_rel", "node").agg((2 * F.count("*")).alias("visits")).join(n.select(F.col("id").alias("node"), "name"), "node").select("budget_rel", "name", "visits")
 
 
-def walk_sql(view: str, dead_end: str, cap: int, group: str) -> str:
+def walk_sql(view: str, dead_end: str, cap: object, group: str, runs: int = 3) -> str:
     """A budgeted walk from the first node by recursion; rows run, idx, node, degree, cum_cost."""
     seen = "SELECT src, dst FROM arcs" + (" UNION SELECT dst, src FROM arcs" if view == "undirected" else "")
     lost = {"restart": "0", "history": f"list_append(trace, nxt)[1 + {draw_sql('key', 't')} % (len(trace) + 1)]"}[dead_end]
     price = "CASE WHEN list_contains(trace, nxt) THEN 2 ELSE 100 END"
     return f"""WITH RECURSIVE {nodes_sql('g4')}, v AS ({seen}), nb AS (SELECT id, count(dst) AS deg, list(dst ORDER BY dst) AS nbrs FROM nodes LEFT JOIN v ON src = id GROUP BY id),
 go(run, key, t, node, deg, cum, nxt, trace) AS (
-  SELECT r, '42|{group}|' || r, 0::BIGINT, -1::BIGINT, 0::BIGINT, 100::BIGINT, 0::BIGINT, []::BIGINT[] FROM range(3) a(r)
+  SELECT r, '42|{group}|' || r, 0::BIGINT, -1::BIGINT, 0::BIGINT, 100::BIGINT, 0::BIGINT, []::BIGINT[] FROM range({runs}) a(r)
   UNION ALL SELECT run, key, t + 1, nxt, nb.deg, cum + {price}, CASE WHEN nb.deg > 0 THEN nbrs[1 + {draw_sql('key', 't')} % nb.deg] ELSE {lost} END, list_append(trace, nxt) FROM go JOIN nb ON nb.id = nxt WHERE cum + {price} <= {cap})
 SELECT run::INTEGER AS run, t - 1 AS idx, node, deg::INTEGER AS degree, cum AS cum_cost FROM go WHERE t > 0"""
 
@@ -562,15 +562,15 @@ def top_entities(spark, d):
     return rounded(diagnose.top_nodes(v.select("node", "visits"), names, v.select(F.col("node").alias("id"), "deg")), "share")
 
 
-_DIAG_CAP = "(SELECT 100 * greatest(round_even(0.05 * count(*), 0), 2)::BIGINT FROM nodes)"
+_DIAG_CAP = "(SELECT 100 * greatest(round_even(0.02 * count(*), 0), 2)::BIGINT FROM nodes)"
 
 
-@query(f"""WITH RECURSIVE w AS ({walk_sql("directed", "history", _DIAG_CAP, "diag|history")}), {nodes_sql('g4')}, c AS (SELECT node, count(*) AS c FROM (SELECT node FROM w WHERE run = 0 UNION ALL SELECT 0) GROUP BY node),
+@query(f"""WITH RECURSIVE w AS ({walk_sql("directed", "history", _DIAG_CAP, "diag|history", 1)}), {nodes_sql('g4')}, c AS (SELECT node, count(*) AS c FROM (SELECT node FROM w WHERE run = 0 UNION ALL SELECT 0) GROUP BY node),
 o AS (SELECT node, c, (SELECT count(*) FROM arcs WHERE src = node) AS deg FROM c), k AS (SELECT count(*) AS k FROM w WHERE run = 0),
 f AS (SELECT count(*) AS distinct_nodes, sum(c * (c - 1) / 2) AS n_col, sum(c / greatest(deg, 1)::DOUBLE) / any_value(k) * (sum(c * greatest(deg, 1)::DOUBLE) / any_value(k)) AS lift, any_value(k) AS k FROM o, k)
 SELECT k AS steps, distinct_nodes, {R('lift')} AS lift, {R('k * (k - 1) / 2 / nullif(n_col, 0)')} AS uis, {R('k * (k - 1) / 2 / nullif(n_col, 0) * lift')} AS katzir FROM f""")
 def diagnose_walk(spark, d):
-    facts = diagnosis.diagnose(*graph.build(raw(spark, d, "g4")), "directed", "history", 0.05, start="c0").facts
+    facts = diagnosis.diagnose(*graph.build(raw(spark, d, "g4")), "directed", "history", 0.02, start="c0").facts
     return rounded(facts.select(F.col("steps").cast("long").alias("steps"), "distinct_nodes", "lift", "uis", "katzir"), "lift", "uis", "katzir")
 
 
