@@ -19,7 +19,7 @@ def coverage(trace: DataFrame, points: list[int]) -> DataFrame:
     marks = trace.sparkSession.createDataFrame([(p,) for p in points], "steps long")
     # Each first occurrence goes to the next checkpoint by search in the fixed list, so no row meets all checkpoints.
     grid = F.lit(points)
-    slot = F.element_at(F.filter(grid, lambda p: p > F.col("at")), 1)
+    slot = F.try_element_at(F.filter(grid, lambda p: p > F.col("at")), F.lit(1))  # null behind the last checkpoint
     per = first.select(slot.cast("long").alias("steps")).where("steps is not null").groupBy("steps").agg(F.count("*").alias("new"))
     w = Window.orderBy("steps").rowsBetween(Window.unboundedPreceding, 0)  # at most as many rows as checkpoints
     return marks.join(per, "steps", "left").select("steps", F.sum(F.coalesce("new", F.lit(0))).over(w).cast("long").alias("distinct"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nodecensus import cli
 from nodecensus.functions.rng import draw_python
-from nodecensus.operators import draws, estimate, graph, results
+from nodecensus.operators import diagnose, draws, estimate, graph, results
 from nodecensus.plans import diagnosis, estimators, experiment, figures, provenance, registry
 from nodecensus.sources import catalogue, files, scratch
 
@@ -356,6 +356,13 @@ def test_diagnose(spark):
     assert (stuck["reachable_end"], stuck["verdict"]) == (2, "stuck")
 
 
+def test_coverage_behind_the_last_point(spark):
+    """Nodes met for the first time behind the last checkpoint count in none."""
+    trace = spark.range(40).selectExpr("id AS idx", "id % 25 AS node")
+    assert list(map(tuple, diagnose.coverage(trace, [1, 5, 10]).orderBy("steps").collect())) == [(1, 1), (5, 5), (10, 10)]
+    assert diagnose.coverage(trace.where("idx >= 10"), [1, 5]).agg(F.sum("distinct")).first()[0] == 0
+
+
 def test_scratch(spark):
     df = scratch.stored(spark.range(3), "x")
     (path,) = {x.rpartition("/")[0] for x in df.inputFiles()}
