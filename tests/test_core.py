@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nodecensus import cli
-from nodecensus.functions.rng import draw_python
+from nodecensus.functions.rng import draw_python, draws_python
 from nodecensus.operators import diagnose, draws, estimate, graph, results
 from nodecensus.plans import diagnosis, estimators, experiment, figures, provenance, registry
 from nodecensus.sources import catalogue, files, scratch
@@ -102,6 +102,32 @@ def test_stored_arcs(spark):
     assert [tuple(r) for r in draws.trace_of(log).where("run = 1").orderBy("idx").drop("run").collect()] == draws.walk(g, [1], "42|walk|1", 3000, "backtrack")[0]
 
 
+def test_walks_in_lots(spark, monkeypatch):
+    """Walks handed on lot by lot, and neighbours dropped and read again, are those made at once."""
+    near = {u: [v for v in range(400) if u != v and (u * 7 + v * 3) % 101 == 0 and u % 5] for u in range(400)}
+    a = spark.createDataFrame([(u, v) for u, x in near.items() for v in x], "src long, dst long")
+    want = {how: draws.walk(near, [1], "42|walk|0", 4000, how, n_walks=2) for how in draws.DEAD_ENDS}
+    arcs = draws.store_arcs(a, 50)
+    monkeypatch.setattr(draws, "LOT", 7)
+    monkeypatch.setattr(draws, "NEAR_ARCS", 60)
+    for how, (samples, charges) in want.items():
+        assert draws.walk(arcs, [1], "42|walk|0", 4000, how, n_walks=2) == (samples, charges) and arcs.near_arcs <= 60
+        lots = list(draws.walk_lots(near, [1], "42|walk|0", 4000, how, n_walks=2))
+        assert len(lots) > 5 and sum(len(x[0]) for x in lots) == len(charges)
+        log = draws.walk_log(spark.range(400), a, [1], 1, 4000, arcs=arcs, dead_end=how, n_walks=2)
+        assert [tuple(r)[1:] for r in draws.charges_of(log).orderBy("seq").collect()] == charges
+        assert [tuple(r)[1:] for r in draws.trace_of(log).orderBy("idx").collect()] == samples
+
+
+def test_arcs_are_stored_once(spark, monkeypatch):
+    """All walks over a view read the same files."""
+    views, store = [], draws.store_arcs
+    monkeypatch.setattr(draws, "store_arcs", lambda a, *more: views.append(a) or store(a, *more))
+    edges = spark.createDataFrame([(f"a{k}", f"a{(k * 7 + j) % 30}") for k in range(30) for j in range(1, 4)], "s string, d string")
+    rows, _ = experiment.run(edges, "g", ["rw-plain__restart__none", "capture-recapture__restart"], ("undirected",), (0.3, 0.6), 1)
+    assert len(views) == 1 and rows.count() == 4
+
+
 def test_self_loops():
     g = {0: [0, 1], 1: [0, 1], 2: [2]}
     for allowed in (False, True):
@@ -376,6 +402,9 @@ def test_scratch(spark):
 
 def test_random():
     assert draw_python("42|x", 1) == 484041811072957956
+    for key in ("42|x", "é|", "x" * 49, "x" * 60):
+        for at, n in ((0, 1200), (99_998, 5)):
+            assert draws_python(key, at, n) == [draw_python(key, k) for k in range(at, at + n)]
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
