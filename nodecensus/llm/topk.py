@@ -6,8 +6,10 @@ the two; the widest, which are *essential*, are traversed for all candidates of
 the other only while a candidate's partial score plus the high bounds still to come reaches the query's k-th best score so
 far.  Each shard yields at most k rows a query, and shards are merged by rank.
 
-Candidates are dealt to shards by a hash of their id (about ``SHARD`` each), queries to blocks of about ``BLOCK``; each block
-of queries, a stated set, meets each shard once, as two packed rows, so no pair of vectors is ever a row.  Nothing is broadcast.
+Candidates are dealt to shards by a hash of their id (about ``SHARD`` each), queries to blocks of about ``BLOCK``.  The blocks, a
+stated set, are stored once in the shared folder (a file system that pyarrow knows); each task reads them one by one for every
+``GROUP`` of its shards and hands on k rows a query and group, so neither blocks nor pairs of vectors are moved, joined or held
+by the JVM, and nothing is broadcast.
 
 Cases: vectors that are null or hold null or non-finite components take no part; vectors of other lengths count as padded
 with zeros; ties go to the smaller vec_id; of repeated rows with a query's id the smallest vector asks, and no row with the
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nodecensus.llm.common import partitions, table
+from nodecensus.llm.common import partitions, stored, table
 
 SHARD, BLOCK, STEP = 4096, 1024, 1024
+#: Shards of a task that meet the blocks together.
+GROUP = 16
 PACKED = "part int, ids binary, width int, data binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -103,6 +107,27 @@ def max_score(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, data: np.nd
     return out
 
 
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a packed row."""
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["data"], np.int64).reshape(len(ids), row["width"])
+
+
+def padded(vectors: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
+
+
+def stored_blocks(files: list[str]):
+    """The stored blocks of queries, one at a time."""
+    from pyarrow import fs, parquet
+
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            for batch in parquet.ParquetFile(f).iter_batches(1):
+                yield from map(unpacked, batch.to_pylist())
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each of ``queries`` (both vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -111,25 +136,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n, asking = rows.count(), asked.count()
     shards = max(1, -(-n // SHARD), min(partitions(spark), -(-n // 256)))
     blocks = max(1, -(-asking // BLOCK))
-    shard = packed(rows, shards).select(F.col("part").alias("shard"), "ids", "width", "data")
-    block = packed(asked, blocks).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    met = shard.join(block, F.col("shard") == F.col("to")).drop("to")
+    files = stored(packed(asked, blocks), "queries").inputFiles()
 
     def run(batches):
+        def met(group: list[tuple[np.ndarray, np.ndarray]]):
+            for own, q in stored_blocks(files):
+                found = []
+                for ids, data in group:
+                    width = max(data.shape[1], q.shape[1])
+                    found += max_score(padded(q, width), own, ids, padded(data, width), k)
+                me, vec, score = (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else [[]] * 3))
+                best = np.lexsort((vec, -score, me))
+                me, vec, score = me[best], vec[best], score[best]
+                # The place of each row among those of its query.
+                keep = np.arange(len(me)) - np.searchsorted(me, me) < k
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (me, vec, score)], ["query_id", "vec_id", "score"])
+
+        group = []
         for batch in batches:
             for x in batch.to_pylist():
-                ids, own = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["q_ids"], np.int64)
-                width = max(x["width"], x["q_width"])
-                data = np.zeros((len(ids), width), np.int64)
-                data[:, : x["width"]] = np.frombuffer(x["data"], np.int64).reshape(len(ids), x["width"])
-                q = np.zeros((len(own), width), np.int64)
-                q[:, : x["q_width"]] = np.frombuffer(x["q_data"], np.int64).reshape(len(own), x["q_width"])
-                found = max_score(q, own, ids, data, k)
-                columns = zip(*found, strict=True) if found else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                group.append(unpacked(x))
+                if len(group) == GROUP:
+                    yield from met(group)
+                    group = []
+        if group:
+            yield from met(group)
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return met.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return packed(rows, shards).mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,6 +226,22 @@ def test_max_score_prunes():
         topk.max_score(np.full((1, 2), 4 << 30), np.array([1]), np.array([2]), np.full((1, 2), 4 << 30), 5)
 
 
+def test_topk_moves_no_blocks(spark, monkeypatch):
+    """Blocks of queries are read where shards are: no join, no copy of a block for each shard, k rows a query and group of shards."""
+    for name, value in (("SHARD", 100), ("BLOCK", 7), ("GROUP", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    data = rng.integers(-3, 4, (1500, 6)) / 256  # many ties
+    v = spark.createDataFrame([(int(i), [float(x) for x in row][: 3 + i % 4]) for i, row in enumerate(data)], "vec_id long, embedding array<double>")
+    found = topk.top_k(v, v.where("vec_id % 50 = 0"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    q = np.floor(256 * data).astype(np.int64)
+    q[np.arange(6)[None, :] >= 3 + np.arange(1500)[:, None] % 4] = 0
+    want = {(me, k + 1, i, -s) for me in range(0, 1500, 50) for k, (s, i) in enumerate(sorted(((-int(s), i) for i, s in enumerate(q @ q[me]) if i != me))[:5])}
+    assert set(map(tuple, found.collect())) == want
+
+
 def test_topk_over_shards(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 700)
     rng = np.random.default_rng(3)
