@@ -128,6 +128,24 @@ def test_arcs_are_stored_once(spark, monkeypatch):
     assert len(views) == 1 and rows.count() == 4
 
 
+def test_draws_read_stored_arcs(spark):
+    """Draws by degree and short walks read the arcs that walks read, and get what sorted lists give; repeated arcs go in the sort."""
+    near = {u: sorted({(u * 7 + j * j) % 40 for j in range(1, 6)} - {u}) for u in range(40)}
+    pairs = [(u, v) for u, x in near.items() for v in x]
+    twice = spark.createDataFrame(pairs + pairs[::2], "src long, dst long")
+    arcs = draws.store_arcs(twice, 30, True)
+    assert arcs.size == len(pairs) and len(arcs.files) > 4 and all(list(arcs[u]) == near[u] for u in near)
+    lost = twice.where(F.raise_error(F.lit("read")).isNull())
+    log = draws.by_degree_log(lost, 2, 3000, arcs=arcs)
+    got = [(r["run"], r["seq"] // 2, r["node"]) for r in log.where("kind = 'draw'").orderBy("run", "seq").collect()]
+    assert got == [(r, i, pairs[draw_python(f"42|by_degree|{r}", i) % len(pairs)][0]) for r, i, _ in got] and len(got) > 30
+    for r in draws.short_walks(spark.range(40), lost, 2, 2000, 3, arcs=arcs).collect():
+        u = draw_python(key := f"42|walk5|{r['run']}", f"{r['idx']}.0") % 40
+        for k in (1, 2, 3):
+            u = near[u][draw_python(key, f"{r['idx']}.{k}") % len(near[u])]
+        assert (r["node"], r["degree"]) == (u, len(near[u]))
+
+
 def test_self_loops():
     g = {0: [0, 1], 1: [0, 1], 2: [2]}
     for allowed in (False, True):
